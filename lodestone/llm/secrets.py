@@ -10,7 +10,7 @@ the string's randomness (1: nothing speaks against a random string).
 False-discovery control asks the reverse: could prose give this? From every document one block of its letters per length
 class, at a hashed place, is tested in the same way; the share of these blocks that are at least as random
 is a string's p-value within its length class. Benjamini-Hochberg at RATE over all strings of
-the class gives the class's cutoff. Short strings, which pass the tests more easily, so need more. All that is gathered are
+the class gives the class's cutoff, which is never below FLOOR. Short strings, which pass the tests more easily, so need more. All that is gathered are
 histograms of BINS bins by length class; they count all documents.
 """
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 LEAST, RATE, BINS = 20, 0.01, 50
+#: The battery itself must not reject the string at one in a thousand.
+FLOOR = BINS - 1 - 30
 #: Length classes: the least length of each.
 CLASSES = (20, 28, 40, 64)
 KINDS = ("assign", "access", "hex", "random")
@@ -180,7 +182,7 @@ def cutoffs(found: dict[tuple[int, int], int], prose: dict[tuple[int, int], int]
         m = sum(n for (s, _), n in found.items() if s == size)
         null = sum(n for (s, _), n in prose.items() if s == size)
         rank, tail = 0, 0
-        for b in range(BINS - 1, -1, -1):
+        for b in range(BINS - 1, FLOOR - 1, -1):
             rank += found.get((size, b), 0)
             tail += prose.get((size, b), 0)
             if rank and m * (1 + tail) / (1 + null) <= rate * rank:

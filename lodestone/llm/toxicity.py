@@ -7,7 +7,8 @@
    A voter that fires votes "toxic"; one that doesn't abstains in the direction of "not toxic".
 3. Label model: votes are generated from the hidden class by EM. Each class has its own firing rates, which are
    the voters' accuracies and coverages, and both share a covariance, which holds the voters'
-   correlations (beginnings of the same word vote together). Labels anchor the classes: they start the EM and stay a
+   correlations (beginnings of the same word vote together): a voter's log-odds are divided by the sum of its
+   correlations, so voters that agree within the classes count as one. Labels anchor the classes: they start the EM and stay a
    part of the evidence with weight ANCHOR, but the posteriors are the model's.
 4. A logistic regression on hashed words, word beginnings and patterns is trained on the posterior labels
    and scores every whole text. It is one vector of DIM floats, so scoring is one scan without a shuffle.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Texts, doc_texts, mix64, row_pieces, sorted_sets
 
-SAMPLE, DIM, LENGTHS, VOTERS, ANCHOR = 6000, 1 << 18, (4, 5, 6), 256, 4.0
+SAMPLE, DIM, LENGTHS, VOTERS, ANCHOR, LEAST_RATE, Z = 4000, 1 << 18, (4, 5, 6), 256, 4.0, 1e-3, 4.0
 PATTERNS = 3
 _BANG = np.zeros(256, dtype=np.int64)
 _BANG[ord("!")] = 1
@@ -74,11 +75,17 @@ def label_model(votes: np.ndarray, labels: np.ndarray, anchor: float = ANCHOR, r
     q = np.where(labels > 0, 0.95, 0.05)
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        rates = np.stack([((1 - q) @ x + 0.1) / ((1 - q).sum() + 1), (q @ x + 0.1) / (q.sum() + 1)])
+        rates = np.stack([((1 - q) @ x + 0.5) / ((1 - q).sum() + 1), (q @ x + 0.5) / (q.sum() + 1)])
+        rates = np.clip(rates, LEAST_RATE, 1 - LEAST_RATE)  # no voter settles a text alone
         c0, c1 = x - rates[0], x - rates[1]
-        cov = ((c0 * (1 - q)[:, None]).T @ c0 + (c1 * q[:, None]).T @ c1) / len(x) + 0.02 * np.eye(x.shape[1])
-        w = np.linalg.solve(cov, rates[1] - rates[0])
-        score = (x - rates.mean(axis=0)) @ w + np.log(prior / (1 - prior)) + anchor * (2 * (labels > 0) - 1)
+        cov = ((c0 * (1 - q)[:, None]).T @ c0 + (c1 * q[:, None]).T @ c1) / len(x)
+        sd = np.sqrt(np.diag(cov)) + 1e-6
+        linked = np.abs(cov / sd[:, None] / sd[None, :])
+        linked[linked < 0.1] = 0
+        np.fill_diagonal(linked, 1)
+        share = 1 / linked.sum(axis=0)  # k voters that always agree count as one
+        fire, rest = np.log(rates[1] / rates[0]) * share, np.log((1 - rates[1]) / (1 - rates[0])) * share
+        score = x @ (fire - rest) + rest.sum() + np.log(prior / (1 - prior)) + anchor * (2 * (labels > 0) - 1)
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         done = np.abs(new - q).max() < 1e-4
         q = new
@@ -91,20 +98,23 @@ def _columns(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)
 
 
-def _linear(h: np.ndarray, d: np.ndarray, flags: np.ndarray, q: np.ndarray, epochs: int = 60) -> np.ndarray:
+def _linear(h: np.ndarray, d: np.ndarray, flags: np.ndarray, q: np.ndarray, epochs: int = 400) -> np.ndarray:
     """Weights (DIM, then PATTERNS, then the bias) of a logistic regression on soft labels, by full-batch AdaGrad with L2."""
-    n, col = len(q), _columns(h)
-    w, seen = np.zeros(DIM + PATTERNS + 1), np.zeros(DIM + PATTERNS + 1) + 1e-8
+    n, (used, col) = len(q), np.unique(_columns(h), return_inverse=True)
+    m = len(used)
+    w, seen = np.zeros(m + PATTERNS + 1), np.zeros(m + PATTERNS + 1) + 1e-8
     balance = np.where(q > 0.5, 0.5 / max(1e-9, (q > 0.5).mean()), 0.5 / max(1e-9, (q <= 0.5).mean())) if 0 < (q > 0.5).sum() < n else np.ones(n)
     f = flags.astype(np.float64)
     for _ in range(epochs):
-        z = np.bincount(d, weights=w[col], minlength=n) + f @ w[DIM:-1] + w[-1]
+        z = np.bincount(d, weights=w[col], minlength=n) + f @ w[m:-1] + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - q) * balance / n
-        grad = np.concatenate([np.bincount(col, weights=g[d], minlength=DIM), g @ f, [g.sum()]])
+        grad = np.concatenate([np.bincount(col, weights=g[d], minlength=m), g @ f, [g.sum()]])
         grad[:-1] += 1e-6 * w[:-1]
         seen += grad * grad
-        w -= 0.3 * grad / np.sqrt(seen)
-    return w
+        w -= 0.5 * grad / np.sqrt(seen)
+    out = np.zeros(DIM + PATTERNS + 1)
+    out[used], out[DIM:] = w[:m], w[m:]
+    return out
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> np.ndarray:
@@ -125,9 +135,12 @@ def fit(texts: list[str | None], toxic: list[int]) -> np.ndarray:
     votes[d[hit], np.searchsorted(lexicon, h[hit])] = 1
     votes[:, len(lexicon) :] = f
     q, _ = label_model(votes, y)
+    # features that the posteriors tell apart: the others, most of them, would only be learned by heart
     keys, at = np.unique(h, return_inverse=True)
-    often = np.bincount(at)[at] >= 3  # a feature of one or two texts would only be learned by heart
-    return _linear(h[often], d[often], f, q)
+    n, hits, p = np.bincount(at), np.bincount(at, weights=q[d]), q.mean()
+    told = (n >= 3) & (np.abs(hits - n * p) > Z * np.sqrt(n * p * (1 - p) + 1e-9)) & (np.abs(hits - n * p) > 2)
+    use = told[at]
+    return _linear(h[use], d[use], f, q)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, sample: int = SAMPLE) -> list[tuple[str | None, int]]:
