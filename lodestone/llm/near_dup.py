@@ -16,9 +16,10 @@ probability (1 - 0.8^4)^32 = 5e-8. Everything after that is exact:
    verified on full shingle sets: a bucket of k members costs k - 1 pairs and not k^2 / 2.
 3. What is left are pairs of members of one pivot's star, at least one of them not linked with the
    pivot, that lie in different components after step 2. Each star's unlinked members are compared with
-   all its members by second sketches of 512 coordinates, in blocks of bounded size that are spread over
+   all its members by second sketches of 1024 coordinates, in blocks of bounded size that are spread over
    tasks; only pairs whose sketches agree to within five standard deviations of the threshold (a pair at the threshold
-   fails this with probability 3e-7) come out, and are verified on full sets as well.
+   fails this with probability 3e-7) come out, and are verified on full sets as well. A first round gives
+   for each member and component only the likeliest pair, a second one all pairs that are then still apart.
 4. Components come from repeated hooking to the smallest neighbour, pointer jumping and contraction,
    all as joins of tables in the shared folder.
 
@@ -39,7 +40,7 @@ from .common import doc_texts, free_name, materialise, mix64, row_pieces, shingl
 
 COORDINATES, BAND_ROWS, WIDTH, SIMILARITY = 128, 4, 5, 80
 #: Coordinates of the second sketch, and members of a block that are compared at a time.
-FINE, BLOCK = 512, 256
+FINE, BLOCK = 1024, 256
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -122,8 +123,11 @@ def _verify(width: int, similarity: int):
     return run
 
 
-def _compare(similarity: int):
-    """Of blocks (left, right) of (member, component, size, fine): pairs of different components that may be linked."""
+def _compare(similarity: int, best: bool):
+    """Of blocks (left, right) of (member, component, size, fine): pairs of different components that may be linked.
+
+    With best, only the likeliest for each member on the left and component on the right.
+    """
     least = FINE * similarity / 100 - 5 * np.sqrt(FINE * similarity / 100 * (1 - similarity / 100))
 
     def columns(block):
@@ -137,7 +141,11 @@ def _compare(similarity: int):
                 found = [np.zeros((0, 2), np.int64)]
                 for k in range(len(u)):
                     ok = np.flatnonzero((cm != cu[k]) & (100 * nm >= similarity * nu[k]) & (100 * nu[k] >= similarity * nm))
-                    ok = ok[(fm[ok] == fu[k]).sum(axis=1) >= least]
+                    equal = (fm[ok] == fu[k]).sum(axis=1)
+                    ok, equal = ok[equal >= least], equal[equal >= least]
+                    if best and len(ok):
+                        ok = ok[np.lexsort((m[ok], -equal))]
+                        ok = ok[np.unique(cm[ok], return_index=True)[1]]
                     found.append(np.stack([np.full(len(ok), u[k]), m[ok]], axis=1))
                 pairs = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["pivot", "member"])
@@ -179,8 +187,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -
     return materialise(pairs.mapInArrow(_verify(width, similarity), "pivot long, member long, linked boolean, size long, fine binary"), "verified")
 
 
-def _rest(done: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (pivot, member) of step 3."""
+def _rest(done: DataFrame, labels: DataFrame, similarity: int, best: bool) -> DataFrame:
+    """Pairs (pivot, member) of step 3; with best, see _compare()."""
     star = done.where("fine IS NOT NULL").join(labels.withColumnRenamed("node", "member"), "member", "left")
     star = materialise(star.withColumn("component", F.coalesce("component", "member")), "stars")
     sizes = star.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all_linked"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -190,7 +198,7 @@ def _rest(done: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     every = materialise(star.groupBy("pivot", "block").agg(block.alias("right")), "blocks")
     apart = materialise(star.where("NOT linked").groupBy("pivot", "block").agg(block.alias("left")), "blocks")
     both = apart.join(every.select("pivot", "right"), "pivot").select("left", "right")
-    return materialise(both.mapInArrow(_compare(similarity), "pivot long, member long").distinct(), "rest")
+    return materialise(both.mapInArrow(_compare(similarity, best), "pivot long, member long").distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
@@ -219,11 +227,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     done = _verified(pairs, texts, width, similarity)
     links = done.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     labels = connected_components(links)
-    rest = _rest(done, labels, similarity)
-    if not rest.isEmpty():
-        more = _verified(rest.withColumn("crowd", F.lit(False)), texts, width, similarity)
-        more = more.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-        labels = connected_components(links.unionByName(more))
+    for best in (True, False):  # first one likely link to each component, which leaves little for the full round
+        rest = _rest(done, labels, similarity, best)
+        if not rest.isEmpty():
+            more = _verified(rest.withColumn("crowd", F.lit(False)), texts, width, similarity)
+            links = links.unionByName(more.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+            labels = connected_components(links)
     none = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))
     member = sets.where("n_shingles > 0").join(classes, same)
     member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("rep"))
