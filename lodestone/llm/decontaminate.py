@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, maybe_broadcast
 
-WINDOW, RAREST = 10, 3
+WINDOW, RAREST = 10, 2
+#: Candidate documents, and words of their items, up to which the candidates are broadcast.
+BROADCAST_DOCS, BROADCAST_WORDS = 50_000, 4_000_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -75,6 +77,12 @@ def _hits(rows: DataFrame, items: DataFrame, rarest: int) -> tuple[DataFrame, Da
     return found.select("doc_id", "print", "position", F.explode("uses").alias("use")).select("doc_id", "print", "use.item_key", "position", "use.place"), items
 
 
+def _small(found: DataFrame) -> DataFrame:
+    """The candidates with a broadcast hint if they are known to be small; else the texts are shuffled to them."""
+    rows, words = found.agg(F.count(F.lit(1)), F.sum(F.expr("aggregate(lines, 0L, (n, l) -> n + size(l.words))"))).first()
+    return F.broadcast(found) if rows <= BROADCAST_DOCS and (words or 0) <= BROADCAST_WORDS else found
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
     """Each row of docs as the struct doc, with n_words, n_hit and found, the sorted ids (as strings) of the items that have windows in it.
 
@@ -88,7 +96,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     lines = postings.groupBy("doc_id", "print", "item_key", (F.col("position") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"))
     lines = lines.join(maybe_broadcast(items), "item_key").where("exists(windows, w -> forall(w.anchors, p -> array_contains(places, p)))")
     found = lines.groupBy("doc_id", "print").agg(F.collect_list(F.struct("item_id", "words", "width", "shift")).alias("lines"))
-    found = materialise(found, "candidates").select(F.col("doc_id").alias("at_id"), F.col("print").alias("at_print"), "lines")
+    found = _small(materialise(found, "candidates").select(F.col("doc_id").alias("at_id"), F.col("print").alias("at_print"), "lines"))
     out = rows.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
     out = out.join(found, F.col("doc_id").eqNullSafe(F.col("at_id")) & F.col("print").eqNullSafe(F.col("at_print")), "left")
     out = out.withColumn("own", F.when(F.col("lines").isNotNull(), tokens(F.col("text"))))
