@@ -1,14 +1,14 @@
 """Token ids as fixed-stride binary shards in training order.
 
-1. One pass tokenises every text, cuts it into sequences of LENGTH ids, and stores them with their task's number
-   and their place in the task: the catalogue, written once. Adding up the tasks' counts numbers
-   the sequences from 0 to N - 1.
+1. One pass tokenises every text, cuts it into sequences of LENGTH ids, and stores blocks of compressed
+   sequences with their task's number and their place in the task: the catalogue, written once. Adding up the
+   tasks' counts numbers the sequences from 0 to N - 1.
 2. A keyed Feistel network over the least a x a >= N, walked along its cycle until it is below N, is a bijection of
    [0, N): it gives every sequence its slot in training order, without a sort and without a table.
-3. Slot // SHARD is a sequence's shard. Each task gets whole shards, sorts them by slot, and writes
-   one file for each: records of one size, so slot s of a shard is at byte (s % SHARD) * STRIDE, and a reader can
-   go on from any slot. A file is written beside its place and renamed, so a task that runs again does no harm, and
-   a shard that is there already is not written again.
+3. Slot // SHARD is a sequence's shard. What a task has for one shard travels as one compressed row, and each
+   shard is one partition, which puts the records in their places and writes one file: records of one size, so slot s of a
+   shard is at byte (s % SHARD) * STRIDE, and a reader can go on from any slot. A file is written beside its place
+   and renamed, so a task that runs again does no harm, and a shard that is there already is not written again.
 
 Record, little-endian: document id (int64), part (uint32), number of ids (uint32), ids (uint16 each), the rest END_OF_TEXT.
 A document's last sequence ends with END_OF_TEXT.
@@ -21,9 +21,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ from .tokenizer import END_OF_TEXT, VOCABULARY, encoder
 
 LENGTH, SHARD, KEY, ROUNDS = 256, 16384, 0x5DEECE66D, 6
 STRIDE = 16 + 2 * LENGTH
+#: Sequences of a block of the catalogue, and bytes of ids that a task holds before it hands them on.
+BLOCK, BUFFER = 2048, 64 << 20
 #: Stands for a missing document id in a record.
 NO_ID = -(1 << 63)
 
@@ -55,64 +57,116 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_CATALOGUE = "task int, place long, doc_id long, part int, n int, ids binary"
+_CATALOGUE = "task int, place long, records int, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
+_PART = "shard int, slots array<long>, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
 
 
 def _tokenise(vocabulary: str, length: int):
     end = np.uint16(END_OF_TEXT).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, place = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        encode, task, place, pack = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6).compress
+        docs, parts, counts, ids = [], [], [], []
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.array([task], pa.int32()), pa.array([place]), pa.array([len(docs)], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(b"".join(ids))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["task", "place", "records", "doc_ids", "parts", "counts", "ids"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids, docs, parts = [], [], []
                 for doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
                     data = encode(text or "") + end
-                    for k in range(0, len(data), 2 * length):
-                        ids.append(data[k : k + 2 * length]), docs.append(doc), parts.append(k // (2 * length))
-                n = len(ids)
-                columns = [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(place, place + n)), pa.array(docs, pa.int64()), pa.array(parts, pa.int32()), pa.array([len(x) // 2 for x in ids], pa.int32()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["task", "place", "doc_id", "part", "n", "ids"])
-                place += n
+                    n = len(data) // 2
+                    k = -(-n // length)
+                    docs += [doc] * k
+                    parts += range(k)
+                    counts += [length] * (k - 1) + [n - length * (k - 1)]
+                    ids.append(data)
+                    if len(docs) >= BLOCK:
+                        yield block()
+                        place += len(docs)
+                        docs, parts, counts, ids = [], [], [], []
+        if docs:
+            yield block()
 
     return run
 
 
-def _write(path: str, total: int, length: int, shard_size: int):
-    """Of (slot, doc_id, part, n, ids) by slot, with whole shards in a task: writes the files and gives the order table back."""
+def _unpack(row: dict) -> list[bytes]:
+    """The sequences' ids of a block or part."""
+    data, at, out = zstandard.ZstdDecompressor().decompress(row["ids"]), 0, []
+    for n in row["counts"]:
+        out.append(data[at : at + 2 * n])
+        at += 2 * n
+    return out
+
+
+def _deal(first: np.ndarray, total: int, shard_size: int, key: int):
+    """From blocks to one row for each shard, for at most BUFFER bytes of ids at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(path)
-        context, stride = TaskContext.get(), 16 + 2 * length
-        shard, out, name = None, None, ""
+        pack, held, size = zstandard.ZstdCompressor(level=3).compress, {}, 0
 
-        def close():
-            if out is not None:
-                out.close()
-                fs.move(name, f"{root}/shard-{shard:08d}.bin")
+        def flush() -> pa.RecordBatch:
+            shards = sorted(held)
+            lists = [[[x[i] for x in held[s]] for s in shards] for i in range(4)]
+            ids = [pack(b"".join(x[4] for x in held[s])) for s in shards]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True)), pa.array(ids, pa.binary())], ["shard", "slots", "doc_ids", "parts", "counts", "ids"])
 
         for batch in batches:
-            slots = np.asarray(batch.column("slot"))
-            docs = batch.column("doc_id").fill_null(NO_ID).to_pylist()
-            for k, (slot, part, n, ids) in enumerate(zip(slots.tolist(), *(batch.column(c).to_pylist() for c in ("part", "n", "ids")), strict=True)):
-                if slot // shard_size != shard:
-                    close()
-                    shard, out = slot // shard_size, None
-                    size = (min(total, (shard + 1) * shard_size) - shard * shard_size) * stride
-                    there = fs.get_file_info(f"{root}/shard-{shard:08d}.bin")
-                    if there.size != size:
-                        name = f"{root}/.shard-{shard:08d}-{context.taskAttemptId()}"
-                        out = fs.open_output_stream(name)
-                if out is not None:
-                    head = docs[k].to_bytes(8, "little", signed=True) + part.to_bytes(4, "little") + n.to_bytes(4, "little")
-                    out.write(head + ids + np.full(length - n, END_OF_TEXT, np.uint16).tobytes())
-            columns = [batch.column("slot"), pa.array(slots // shard_size), *(batch.column(c) for c in ("doc_id", "part", "n"))]
-            yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "doc_id", "part", "n_tokens"])
-        close()
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                slots = permute(first[row["task"]] + row["place"] + np.arange(row["records"]), total, key).tolist()
+                for slot, *rest in zip(slots, row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
+                    held.setdefault(slot // shard_size, []).append((slot, *rest))
+                size += 2 * sum(row["counts"])
+                if size > BUFFER:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
 
     return run
 
 
+def _write(path: str, total: int, length: int, shard_size: int):
+    """Of all parts of a shard: writes its file, and gives the order table back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride, shard, image, docs = 16 + 2 * length, None, None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if shard is None:
+                    shard = row["shard"]
+                    n = min(total, (shard + 1) * shard_size) - shard * shard_size
+                    image = np.full((n, stride // 2), END_OF_TEXT, np.uint16)
+                    docs, parts, counts = [None] * n, np.zeros(n, np.int32), np.zeros(n, np.int32)
+                assert shard == row["shard"], "a partition holds one shard"
+                for slot, doc, part, count, ids in zip(row["slots"], row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
+                    k = slot - shard * shard_size
+                    docs[k], parts[k], counts[k] = doc, part, count
+                    head = (NO_ID if doc is None else doc).to_bytes(8, "little", signed=True) + part.to_bytes(4, "little") + count.to_bytes(4, "little")
+                    image[k, : 8 + count] = np.frombuffer(head + ids, np.uint16)
+        if shard is not None:
+            _store(path, shard, image.tobytes())
+            slots = np.arange(len(docs)) + shard * shard_size
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(docs), shard, np.int64)), pa.array(docs, pa.int64()), pa.array(parts), pa.array(counts)], ["slot", "shard", "doc_id", "part", "n_tokens"])
+
+    return run
+
+
+def _store(path: str, shard: int, data: bytes) -> None:
+    fs, root = pa.fs.FileSystem.from_uri(path)
+    name = f"{root}/shard-{shard:08d}.bin"
+    if fs.get_file_info(name).size != len(data):
+        beside = f"{root}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(beside) as out:
+            out.write(data)
+        fs.move(beside, name)
+
+
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, shard_size: int = SHARD, key: int = KEY) -> DataFrame:
     """Writes shards and manifest.json below path and returns the order table: slot, shard, doc_id, part, n_tokens.
 
@@ -122,21 +176,15 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     catalogue = materialise(rows.mapInArrow(_tokenise(vocabulary, length), _CATALOGUE), "catalogue")
-    counts = sorted((r.task, r.n) for r in catalogue.groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a task
+    counts = sorted((r.task, r.n) for r in catalogue.groupBy("task").agg(F.sum("records").alias("n")).collect())  # one row a task
     total = sum(n for _, n in counts)
     first = np.zeros(counts[-1][0] + 1 if counts else 1, np.int64)
     for (task, _), start in zip(counts, np.cumsum([0, *[n for _, n in counts]]), strict=False):
         first[task] = start
-
-    @F.pandas_udf("long")
-    def slot(task: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series(permute(first[task.to_numpy()] + place.to_numpy(), total, key))
-
     spec = {"records": total, "record_bytes": 16 + 2 * length, "ids_per_record": length, "records_per_shard": shard_size, "key": key, "end_of_text": END_OF_TEXT}
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     shards = max(1, -(-total // shard_size))
-    placed = catalogue.withColumn("slot", slot("task", "place"))
-    dealt = placed.select("slot", "doc_id", "part", "n", "ids").repartitionById(shards, F.floor(F.col("slot") / shard_size).cast("int")).sortWithinPartitions("slot")
+    dealt = catalogue.mapInArrow(_deal(first, total, shard_size, key), _PART).repartitionById(shards, "shard")
     order = dealt.mapInArrow(_write(path, total, length, shard_size), "slot long, shard long, doc_id long, part int, n_tokens int")
     return materialise(order, "order")
 
