@@ -86,14 +86,16 @@ def graph_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     most = implementations(edges, nodes.where("type = 'interface'")).where("n > 1").orderBy("id").limit(1).agg(F.max("n").alias("strategy"))
     one = counts.join(F.broadcast(links), how="cross").join(F.broadcast(most), how="cross")  # one row each
     tier = lambda c: F.when(F.col(c) > 2, "high").otherwise("medium")
+    hit = lambda when, name, confidence, n: F.when(when, F.struct(F.lit(name).alias("name"), confidence.alias("confidence"), n.cast("long").alias("components")))
+    c = lambda name: F.col(name)
     found = F.array_compact(F.array(
-        F.when((F.col("c") > 0) & (F.col("m") > 0) & (F.col("v") > 0), F.struct(F.lit("MVC").alias("name"), F.when(F.least("c", "m", "v") > 2, "high").otherwise("medium").alias("confidence"), (F.col("c") + F.col("m") + F.col("v")).alias("components"))),
-        F.when(F.col("repository") > 0, F.struct(F.lit("Repository Pattern"), tier("repository"), F.col("repository"))),
-        F.when(F.col("service") > 0, F.struct(F.lit("Service Pattern"), tier("service"), F.col("service"))),
-        F.when(F.col("factory") > 0, F.struct(F.lit("Factory Pattern"), F.lit("medium"), F.col("factory"))),
-        F.when(F.col("di") > 0, F.struct(F.lit("Dependency Injection"), tier("di"), F.col("di"))),
-        F.when(F.col("strategy") > 1, F.struct(F.lit("Strategy Pattern"), tier("strategy"), F.col("strategy"))),
-        F.when((F.col("c") > 0) & (F.col("service") > 0) & ((F.col("repository") > 0) | (F.col("m") > 0)), F.struct(F.lit("Layered Architecture"), F.lit("high"), F.col("c") + F.col("service"))),
-        F.when((F.col("interfaces") > 5) & (F.col("impl") > 5), F.struct(F.lit("Hexagonal/Clean Architecture"), F.lit("medium"), F.col("interfaces"))),
+        hit((c("c") > 0) & (c("m") > 0) & (c("v") > 0), "MVC", F.when(F.least("c", "m", "v") > 2, "high").otherwise("medium"), c("c") + c("m") + c("v")),
+        hit(c("repository") > 0, "Repository Pattern", tier("repository"), c("repository")),
+        hit(c("service") > 0, "Service Pattern", tier("service"), c("service")),
+        hit(c("factory") > 0, "Factory Pattern", F.lit("medium"), c("factory")),
+        hit(c("di") > 0, "Dependency Injection", tier("di"), c("di")),
+        hit(c("strategy") > 1, "Strategy Pattern", tier("strategy"), c("strategy")),
+        hit((c("c") > 0) & (c("service") > 0) & ((c("repository") > 0) | (c("m") > 0)), "Layered Architecture", F.lit("high"), c("c") + c("service")),
+        hit((c("interfaces") > 5) & (c("impl") > 5), "Hexagonal/Clean Architecture", F.lit("medium"), c("interfaces")),
     ))
     return one.select(F.explode(found).alias("p")).select("p.*")
