@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Texts, doc_texts, materialise, maybe_broadcast, mix64
 
@@ -36,6 +37,8 @@ SIGNALS = {
 }
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
+#: The fixed rules.
+BASE = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -101,10 +104,11 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); doc is a struct of docs' columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(_measure, f"doc {kind}, " + ", ".join(f"{c} long" for c in COUNTS)).withColumn(
-        "base_failed", F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    )
+    return rows.mapInArrow(_measure, _measured(rows)).withColumn("base_failed", F.expr(BASE))
+
+
+def _measured(rows: DataFrame) -> StructType:
+    return StructType([rows.schema["doc"], *(StructField(c, LongType()) for c in COUNTS)])
 
 
 def upper_bound(errors: int, n: int, delta: float) -> float:
@@ -193,9 +197,7 @@ def _fitted(rows: DataFrame, labels: DataFrame, risk: float) -> tuple[DataFrame,
 def measure_slim(rows: DataFrame) -> DataFrame:
     """measure() of (doc_id, stratum, text) without the text in its result."""
     slim = rows.select(F.struct("doc_id", "stratum").alias("doc"), "text")
-    kind = slim.schema["doc"].dataType.simpleString()
-    out = slim.mapInArrow(_measure, f"doc {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
-    return out.select("doc.*", *COUNTS, F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words").alias("base_failed"))
+    return slim.mapInArrow(_measure, _measured(slim)).select("doc.*", *COUNTS, F.expr(BASE).alias("base_failed"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK) -> DataFrame:
