@@ -5,7 +5,8 @@ reject at once. On top of them, one cutoff for each signal and stratum (language
 holdouts: going from the mildest to the strictest candidate of a fixed grid, a cutoff is certified if the
 exact (Clopper-Pearson) upper bound of the share of good documents that it rejects is at most
 RISK / number of signals, at the confidence DELTA shared among all strata, signals and candidates
-(Bonferroni). The strictest certified cutoff is used if it also rejects more of the bad than of the good.
+(Bonferroni). Of the certified cutoffs the mildest is used for which the share of bad documents that it rejects, less
+WEIGHT times that of the good, is greatest.
 All rules together so reject at most RISK of a stratum's good documents, with probability 1 - DELTA.
 
 Strata with fewer than MIN_GOOD good labelled documents share one pooled stratum, so there are at most
@@ -25,7 +26,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Texts, doc_texts, materialise, maybe_broadcast, mix64
 
-RISK, DELTA, MIN_GOOD = 0.02, 0.05, 1000
+RISK, DELTA, MIN_GOOD, WEIGHT = 0.02, 0.05, 1000, 10
 WINDOW = 8
 #: Signal: (expression of a bin that grows with badness, number of bins).
 SIGNALS = {
@@ -133,14 +134,15 @@ def choose_cutoffs(good: dict, bad: dict, risk: float = RISK, delta: float = DEL
     tests = sum(len(x) for x in good.values())
     chosen = {}
     for key, counts in good.items():
-        n, rejected, n_bad, rejected_bad = int(sum(counts)), 0, int(sum(bad[key])), 0
+        n, rejected, n_bad, rejected_bad, best = int(sum(counts)), 0, int(sum(bad[key])), 0, 0.0
         for b in range(len(counts) - 1, 0, -1):
             rejected += int(counts[b])
             rejected_bad += int(bad[key][b])
             if n == 0 or rejected > risk / len(SIGNALS) * n or upper_bound(rejected, n, delta / tests) > risk / len(SIGNALS):
                 break
-            if rejected_bad * n > rejected * n_bad:
-                chosen[key] = b
+            worth = rejected_bad / max(1, n_bad) - WEIGHT * rejected / n
+            if worth > best:  # of equally good ones the mildest stays
+                best, chosen[key] = worth, b
     return chosen
 
 
