@@ -13,8 +13,6 @@ from lodestone.operators import code_graph, environment, extract, graph, pattern
 from lodestone.operators.store import Table
 from lodestone.sources.repo import read_repo
 
-#: Keys of each stored collection.
-KEYS = {"repositories": ["repo_id"], "files": ["repo_id", "path"], "entities": ["repo_id", "path", "seq"], "documentation": ["repo_id", "path", "seq"], "chunks": ["repo_id", "chunk_id"], "nodes": ["repo_id", "id"], "edges": ["repo_id", "src", "dst"], "patterns": ["repo_id", "name"], "environment": ["repo_id", "category", "key", "path"], "vectors": ["id"]}
 # Canned pattern questions, fixed values.
 PATTERN_QUESTIONS = ["repository pattern", "factory pattern", "dependency injection", "singleton pattern", "observer pattern", "strategy pattern", "mediator pattern", "command query separation"]
 
@@ -27,23 +25,24 @@ class Engine:
     path: str
     dimension: int = 64
 
-    def table(self, name: str) -> Table:
-        return Table(self.spark, f"{self.path}/{name}", KEYS[name])
-
     def read(self, name: str, repo_id: str | None = None) -> DataFrame:
-        return relational.optional_filter(self.table(name).read(), repo_id=repo_id)
+        """A collection; with repo_id only that repository's folder is read."""
+        if name == "repositories":
+            return self._repositories().read()
+        return relational.optional_filter(self.spark.read.parquet(f"{self.path}/{name}"), repo_id=repo_id)
+
+    def _repositories(self) -> Table:
+        return Table(self.spark, f"{self.path}/repositories", ["repo_id"])
 
     def _put(self, name: str, rows: DataFrame, repo: str) -> None:
-        have = self.table(name)
-        if have.versions():
-            have.delete(F.col("repo_id") == repo)
-        have.append(rows.withColumn("repo_id", F.lit(repo)))
+        """Replaces one repository's rows; the others' folders are not touched."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/repo_id={repo}")
 
     def analyze(self, repo_path: str, repo_name: str, *, exclude_patterns: list[str] | None = None, include_embeddings: bool = True, file_limit: int | None = None) -> dict:
         """Reads a tree and stores files, entities, documentation, chunks, graph, patterns, environment and vectors. Files that can't be read are counted as errors."""
         if not repo_path or not repo_name:
             raise ValueError("repo_path and repo_name are required")
-        repo = self.spark.range(1).select(stable_id(F.lit(repo_name)).alias("id")).first().id
+        repo = "r" + self.spark.range(1).select(stable_id(F.lit(repo_name)).alias("id")).first().id  # the letter keeps it a string as a folder
         files = read_repo(self.spark, repo_path, exclude=exclude_patterns, substring=True)
         if file_limit:
             files = files.orderBy("path").limit(file_limit)
@@ -62,7 +61,7 @@ class Engine:
             self._put("vectors", self._vectors(repo), repo)
         count = lambda df: df.count()
         done = {"repo_id": repo, "files": count(files.where("error IS NULL")), "errors": count(files.where("error IS NOT NULL")), "entities": count(self.read("entities", repo)), "patterns": count(self.read("patterns", repo))}
-        self.table("repositories").upsert(self.spark.createDataFrame([(repo, repo_name, repo_path)], "repo_id string, name string, path string").withColumn("created_at", F.current_timestamp()))
+        self._repositories().upsert(self.spark.createDataFrame([(repo, repo_name, repo_path)], "repo_id string, name string, path string").withColumn("created_at", F.current_timestamp()))
         return done
 
     def _patterns(self, repo: str, code: DataFrame, files: DataFrame) -> DataFrame:
