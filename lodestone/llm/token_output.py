@@ -10,8 +10,8 @@
    shard is at byte (s % SHARD) * STRIDE, and a reader can go on from any slot. A file is written beside its place
    and renamed, so a task that runs again does no harm, and a shard that is there already is not written again.
 
-Record, little-endian: document id (int64), part (uint32), number of ids (uint32), ids (uint16 each), the rest END_OF_TEXT.
-A document's last sequence ends with END_OF_TEXT.
+Record: LENGTH ids (uint16, little-endian), filled up with END_OF_TEXT; a document's last sequence ends with END_OF_TEXT. The order
+table has each slot's document, part and number of ids, so shards are nothing but ids and can be mapped into memory.
 """
 
 from __future__ import annotations
@@ -32,11 +32,9 @@ from .common import materialise, shared_dir
 from .tokenizer import END_OF_TEXT, VOCABULARY, encoder
 
 LENGTH, SHARD, KEY, ROUNDS = 256, 16384, 0x5DEECE66D, 6
-STRIDE = 16 + 2 * LENGTH
+STRIDE = 2 * LENGTH
 #: Sequences of a block of the catalogue, and bytes of ids that a task holds before it hands them on.
 BLOCK, BUFFER = 2048, 64 << 20
-#: Stands for a missing document id in a record.
-NO_ID = -(1 << 63)
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -58,14 +56,14 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 _CATALOGUE = "task int, place long, records int, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
-_PART = "shard int, slots array<long>, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
+_PART = "shard int, slots array<int>, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
 
 
 def _tokenise(vocabulary: str, length: int):
     end = np.uint16(END_OF_TEXT).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, place, pack = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=6).compress
+        encode, task, place, pack = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=9).compress
         docs, parts, counts, ids = [], [], [], []
 
         def block() -> pa.RecordBatch:
@@ -105,13 +103,13 @@ def _deal(first: np.ndarray, total: int, shard_size: int, key: int):
     """From blocks to one row for each shard, for at most BUFFER bytes of ids at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, held, size = zstandard.ZstdCompressor(level=3).compress, {}, 0
+        pack, held, size = zstandard.ZstdCompressor(level=6).compress, {}, 0
 
         def flush() -> pa.RecordBatch:
             shards = sorted(held)
             lists = [[[x[i] for x in held[s]] for s in shards] for i in range(4)]
             ids = [pack(b"".join(x[4] for x in held[s])) for s in shards]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True)), pa.array(ids, pa.binary())], ["shard", "slots", "doc_ids", "parts", "counts", "ids"])
 
         for batch in batches:
@@ -119,7 +117,7 @@ def _deal(first: np.ndarray, total: int, shard_size: int, key: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 slots = permute(first[row["task"]] + row["place"] + np.arange(row["records"]), total, key).tolist()
                 for slot, *rest in zip(slots, row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
-                    held.setdefault(slot // shard_size, []).append((slot, *rest))
+                    held.setdefault(slot // shard_size, []).append((slot % shard_size, *rest))
                 size += 2 * sum(row["counts"])
                 if size > BUFFER:
                     yield flush()
@@ -134,21 +132,19 @@ def _write(path: str, total: int, length: int, shard_size: int):
     """Of all parts of a shard: writes its file, and gives the order table back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stride, shard, image, docs = 16 + 2 * length, None, None, None
+        shard, image, docs = None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if shard is None:
                     shard = row["shard"]
                     n = min(total, (shard + 1) * shard_size) - shard * shard_size
-                    image = np.full((n, stride // 2), END_OF_TEXT, np.uint16)
+                    image = np.full((n, length), END_OF_TEXT, np.uint16)
                     docs, parts, counts = [None] * n, np.zeros(n, np.int32), np.zeros(n, np.int32)
                 assert shard == row["shard"], "a partition holds one shard"
-                for slot, doc, part, count, ids in zip(row["slots"], row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
-                    k = slot - shard * shard_size
+                for k, doc, part, count, ids in zip(row["slots"], row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
                     docs[k], parts[k], counts[k] = doc, part, count
-                    head = (NO_ID if doc is None else doc).to_bytes(8, "little", signed=True) + part.to_bytes(4, "little") + count.to_bytes(4, "little")
-                    image[k, : 8 + count] = np.frombuffer(head + ids, np.uint16)
+                    image[k, :count] = np.frombuffer(ids, np.uint16)
         if shard is not None:
             _store(path, shard, image.tobytes())
             slots = np.arange(len(docs)) + shard * shard_size
@@ -171,7 +167,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """Writes shards and manifest.json below path and returns the order table: slot, shard, doc_id, part, n_tokens.
 
     Every text gives at least one sequence; null and empty texts give END_OF_TEXT alone. Repeated rows are written as often
-    as they come; a null id is written as NO_ID. An empty table gives a manifest without shards. Other columns are ignored.
+    as they come; a null id stays null in the order table. An empty table gives a manifest without shards. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -181,7 +177,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     first = np.zeros(counts[-1][0] + 1 if counts else 1, np.int64)
     for (task, _), start in zip(counts, np.cumsum([0, *[n for _, n in counts]]), strict=False):
         first[task] = start
-    spec = {"records": total, "record_bytes": 16 + 2 * length, "ids_per_record": length, "records_per_shard": shard_size, "key": key, "end_of_text": END_OF_TEXT}
+    spec = {"records": total, "record_bytes": 2 * length, "ids_per_record": length, "records_per_shard": shard_size, "key": key, "end_of_text": END_OF_TEXT}
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     shards = max(1, -(-total // shard_size))
     dealt = catalogue.mapInArrow(_deal(first, total, shard_size, key), _PART).repartitionById(shards, "shard")
@@ -189,12 +185,9 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     return materialise(order, "order")
 
 
-def read_shard(data: bytes, length: int = LENGTH, start: int = 0) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(document id, part, ids) of a shard's records from record start on."""
-    stride = 16 + 2 * length
-    for at in range(start * stride, len(data), stride):
-        n = int.from_bytes(data[at + 12 : at + 16], "little")
-        yield int.from_bytes(data[at : at + 8], "little", signed=True), int.from_bytes(data[at + 8 : at + 12], "little"), np.frombuffer(data, np.uint16, n, at + 16)
+def read_shard(data: bytes, length: int = LENGTH, start: int = 0) -> np.ndarray:
+    """A shard's records (rows of length ids) from record start on."""
+    return np.frombuffer(data, np.uint16, offset=start * 2 * length).reshape(-1, length)
 
 
 def new_output(spark: SparkSession) -> str:

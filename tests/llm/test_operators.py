@@ -178,11 +178,13 @@ def test_shards(spark, plain, sf_dir, tmp_path):
     slot = 0
     for f in files:
         data = f.read_bytes()
-        assert len(data) % (16 + 128) == 0
-        for doc, part, ids in token_output.read_shard(data, 64):
-            assert (doc, part, len(ids)) == (at[slot].doc_id, at[slot].part, at[slot].n_tokens)
-            seen[doc, part] = ids.tolist()
+        assert len(data) % 128 == 0
+        for ids in token_output.read_shard(data, 64):
+            n = at[slot].n_tokens
+            assert at[slot].shard == int(f.stem[6:]) and set(ids[n:]) <= {tokenizer.END_OF_TEXT}
+            seen[at[slot].doc_id, at[slot].part] = ids[:n].tolist()
             slot += 1
+        assert (token_output.read_shard(data, 64, 3) == token_output.read_shard(data, 64)[3:]).all()
     assert slot == len(order) and len(files) == math.ceil(slot / 100)
     for r in docs.collect():
         ids = sum((seen[k] for k in sorted(k for k in seen if k[0] == r.doc_id)), [])
