@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared folders, column names, and word spans over whole Arrow batches.
+"""Helpers shared by the operators: column names, and word spans over whole Arrow batches.
 
 Word code works on the UTF-8 bytes of many texts at once with numpy. A batch is cut into pieces of a
 few megabytes, so a worker's memory follows the longest single text and not the batch.
@@ -6,54 +6,23 @@ few megabytes, so a worker's memory follows the longest single text and not the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.storage import shared_folder as shared_dir
+from lodestone.storage import written as materialise
+
+__all__ = ["Texts", "doc_texts", "free_name", "lower_ascii", "materialise", "maybe_broadcast", "mix64", "row_pieces", "shared_dir", "shingle_hashes", "sorted_sets"]
+
 #: Bytes of text that are worked on at a time.
 PIECE_BYTES = 2 << 20
 #: Rows that a broadcast side may have at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
 
-_ONE = np.uint64(1)
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's path below spark.checkpoint.dir, which all executors share.
-
-    Only where the session names no such folder (tests on one machine) is a local one set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else "/tmp/lodestone-checkpoints"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the shared file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Removes the files of a table that materialise() returned, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete_path(df.sparkSession, path)
-
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more rows than limit, else as it is (the join is shuffled)."""

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, free_name, materialise, mix64, row_pieces, shingle_hashes, sorted_sets
+from .common import doc_texts, materialise, mix64, row_pieces, shingle_hashes, sorted_sets
 
 COORDINATES, BAND_ROWS, WIDTH, SIMILARITY = 128, 4, 5, 80
 #: Coordinates of the second sketch, and members of a block that are compared at a time.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, doc_texts, mix64, row_pieces, sorted_sets
+from .common import Texts, doc_texts, mix64, sorted_sets
 
 SAMPLE, DIM, LENGTHS, VOTERS, ANCHOR, LEAST_RATE, Z = 4000, 1 << 18, (4, 5, 6), 256, 4.0, 1e-3, 4.0
 PATTERNS = 3
