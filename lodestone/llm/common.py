@@ -6,7 +6,8 @@ few megabytes, so a worker's memory follows the longest single text and not the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,10 @@ from pyspark.sql import functions as F
 from lodestone.storage import shared_folder as shared_dir
 from lodestone.storage import written as materialise
 
-__all__ = ["Texts", "doc_texts", "free_name", "lower_ascii", "materialise", "maybe_broadcast", "mix64", "row_pieces", "shared_dir", "shingle_hashes", "sorted_sets"]
+__all__ = ["Texts", "doc_texts", "free_name", "lower_ascii", "materialise", "maybe_broadcast", "mix64", "row_pieces", "shared_dir", "shingle_hashes", "sorted_sets", "trimmed"]
 
 #: Bytes of text that are worked on at a time.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Rows that a broadcast side may have at most; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -29,6 +30,21 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, but a worker hands its free memory back to the system when the task ends; Spark keeps idle workers for later stages."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return inner
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,7 +121,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         size = max(n + 1, 1 << 16)
         with np.errstate(over="ignore"):
             have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base)]), dtype=np.uint64)
-        if size <= 4 * PIECE_BYTES:
+        if size <= 2 * PIECE_BYTES:
             _POWERS[int(base)] = have
     return have[: max(n, 1)]
 

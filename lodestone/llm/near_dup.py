@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, materialise, mix64, row_pieces, shingle_hashes, sorted_sets
+from .common import doc_texts, materialise, mix64, row_pieces, shingle_hashes, sorted_sets, trimmed
 
 COORDINATES, BAND_ROWS, WIDTH, SIMILARITY = 128, 4, 5, 80
 #: Coordinates of the second sketch, and members of a block that are compared at a time.
@@ -184,7 +184,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -
     pairs = pairs.join(texts.select(F.col("doc_id").alias("member"), F.col("text").alias("text_m")), "member")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("text_p")), "pivot")
     pairs = pairs.select("pivot", "member", "crowd", "text_m", "text_p")
-    return materialise(pairs.mapInArrow(_verify(width, similarity), "pivot long, member long, linked boolean, size long, fine binary"), "verified")
+    return materialise(pairs.mapInArrow(trimmed(_verify(width, similarity)), "pivot long, member long, linked boolean, size long, fine binary"), "verified")
 
 
 def _rest(done: DataFrame, labels: DataFrame, similarity: int, best: bool) -> DataFrame:
@@ -198,7 +198,7 @@ def _rest(done: DataFrame, labels: DataFrame, similarity: int, best: bool) -> Da
     every = materialise(star.groupBy("pivot", "block").agg(block.alias("right")), "blocks")
     apart = materialise(star.where("NOT linked").groupBy("pivot", "block").agg(block.alias("left")), "blocks")
     both = apart.join(every.select("pivot", "right"), "pivot").select("left", "right")
-    return materialise(both.mapInArrow(_compare(similarity, best), "pivot long, member long").distinct(), "rest")
+    return materialise(both.mapInArrow(trimmed(_compare(similarity, best)), "pivot long, member long").distinct(), "rest")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     their exact copies, or null, and are kept only in the second case. Other columns are ignored. An empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialise(rows.mapInArrow(_sketches(width), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "sketches")
+    sets = materialise(rows.mapInArrow(trimmed(_sketches(width)), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "sketches")
     same = ["print_a", "print_b", "n_shingles"]
     classes = materialise(sets.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
     first = sets.where("n_shingles > 0").join(classes, same).where("doc_id = rep").select("doc_id", "bands")

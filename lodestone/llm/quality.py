@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Texts, doc_texts, materialise, maybe_broadcast, mix64
+from .common import Texts, doc_texts, materialise, maybe_broadcast, mix64, trimmed
 
 RISK, DELTA, MIN_GOOD, WEIGHT = 0.02, 0.05, 1000, 10
 WINDOW = 8
@@ -105,7 +105,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); doc is a struct of docs' columns."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_measure, _measured(rows)).withColumn("base_failed", F.expr(BASE))
+    return rows.mapInArrow(trimmed(_measure), _measured(rows)).withColumn("base_failed", F.expr(BASE))
 
 
 def _measured(rows: DataFrame) -> StructType:
@@ -199,7 +199,7 @@ def _fitted(rows: DataFrame, labels: DataFrame, risk: float) -> tuple[DataFrame,
 def measure_slim(rows: DataFrame) -> DataFrame:
     """measure() of (doc_id, stratum, text) without the text in its result."""
     slim = rows.select(F.struct("doc_id", "stratum").alias("doc"), "text")
-    return slim.mapInArrow(_measure, _measured(slim)).select("doc.*", *COUNTS, F.expr(BASE).alias("base_failed"))
+    return slim.mapInArrow(trimmed(_measure), _measured(slim)).select("doc.*", *COUNTS, F.expr(BASE).alias("base_failed"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK) -> DataFrame:

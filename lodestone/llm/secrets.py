@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, trimmed
 
 LEAST, RATE, BINS = 20, 0.01, 50
 #: The battery itself must not reject the string at one in a thousand.
@@ -197,7 +197,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     span, cand, prose = ("array<struct<start:bigint,end:bigint,kind:string>>", "array<struct<start:bigint,end:bigint,size:int,bin:int>>", "array<struct<size:int,bin:int>>")
-    scanned = materialise(rows.mapInArrow(_scan, f"doc_id long, base {span}, found {cand}, prose {prose}"), "secrets")
+    scanned = materialise(rows.mapInArrow(trimmed(_scan), f"doc_id long, base {span}, found {cand}, prose {prose}"), "secrets")
 
     def histogram(column: str) -> dict[tuple[int, int], int]:  # at most classes x bins rows
         one = scanned.select(F.explode(column).alias("x")).groupBy("x.size", "x.bin").count()

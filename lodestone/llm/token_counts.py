@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, trimmed
 from .tokenizer import VOCABULARY, encoder
 
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -62,7 +62,7 @@ def count_changes(changes: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFr
     count; an empty table gives no groups. Other columns are ignored.
     """
     rows = changes.select(F.coalesce(F.col("sign").cast("int"), F.lit(0)).alias("sign"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    parts = rows.mapInArrow(_count(vocabulary), SCHEMA)
+    parts = rows.mapInArrow(trimmed(_count(vocabulary)), SCHEMA)
     return parts.groupBy("source", "lang", "tokenizer").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")])
 
 

@@ -28,19 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, mix64, shared_dir, trimmed
 from .tokenizer import END_OF_TEXT, VOCABULARY, encoder
 
 LENGTH, SHARD, KEY, ROUNDS = 256, 16384, 0x5DEECE66D, 6
 STRIDE = 2 * LENGTH
 #: Sequences of a block of the catalogue, and bytes of ids that a task holds before it hands them on.
-BLOCK, BUFFER = 2048, 64 << 20
+BLOCK, BUFFER = 2048, 32 << 20
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     """The slots of indexes in [0, n): a keyed bijection of [0, n)."""
-    from .common import mix64
-
     side = np.uint64(max(1, math.isqrt(max(0, n - 1)) + 1))
     rounds = [mix64(np.array([key + 0x1000193 * r], dtype=np.uint64))[0] for r in range(ROUNDS)]
     out = np.asarray(index, dtype=np.uint64).copy()
@@ -171,7 +169,7 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    catalogue = materialise(rows.mapInArrow(_tokenise(vocabulary, length), _CATALOGUE), "catalogue")
+    catalogue = materialise(rows.mapInArrow(trimmed(_tokenise(vocabulary, length)), _CATALOGUE), "catalogue")
     counts = sorted((r.task, r.n) for r in catalogue.groupBy("task").agg(F.sum("records").alias("n")).collect())  # one row a task
     total = sum(n for _, n in counts)
     first = np.zeros(counts[-1][0] + 1 if counts else 1, np.int64)
@@ -180,8 +178,8 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     spec = {"records": total, "record_bytes": 2 * length, "ids_per_record": length, "records_per_shard": shard_size, "key": key, "end_of_text": END_OF_TEXT}
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     shards = max(1, -(-total // shard_size))
-    dealt = catalogue.mapInArrow(_deal(first, total, shard_size, key), _PART).repartitionById(shards, "shard")
-    order = dealt.mapInArrow(_write(path, total, length, shard_size), "slot long, shard long, doc_id long, part int, n_tokens int")
+    dealt = catalogue.mapInArrow(trimmed(_deal(first, total, shard_size, key)), _PART).repartitionById(shards, "shard")
+    order = dealt.mapInArrow(trimmed(_write(path, total, length, shard_size)), "slot long, shard long, doc_id long, part int, n_tokens int")
     return materialise(order, "order")
 
 

@@ -10,7 +10,7 @@ from array import array
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 #: Pieces whose ids a worker keeps; then it starts anew.
-KEPT = 300_000
+KEPT = 150_000
 
 # The vocabulary's own splitting pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

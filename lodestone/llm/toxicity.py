@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, doc_texts, mix64, sorted_sets
+from .common import Texts, doc_texts, mix64, sorted_sets, trimmed
 
 SAMPLE, DIM, LENGTHS, VOTERS, ANCHOR, LEAST_RATE, Z = 4000, 1 << 18, (4, 5, 6), 256, 4.0, 1e-3, 4.0
 PATTERNS = 3
@@ -183,5 +183,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     weights = fit([t for t, _ in pairs], [y for _, y in pairs])
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    out = rows.mapInArrow(_score(weights), "doc_id long, score double")
+    out = rows.mapInArrow(trimmed(_score(weights)), "doc_id long, score double")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
