@@ -50,13 +50,14 @@ def fast_sketch(h: np.ndarray, doc: np.ndarray, n_docs: int, t: int = COORDINATE
     shaped = sketch.reshape(n_docs, t)
     open_docs = np.zeros(n_docs, dtype=bool)
     open_docs[doc] = True
+    bits = (2 * t).bit_length()  # of the round number, which is below 2t
     with np.errstate(over="ignore"):
         for i in range(2 * t):
             if not len(h):
                 break
             v = mix64(h ^ (np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)))
             bins = (v % np.uint64(t)).astype(np.int64) if i < t else i - t
-            np.minimum.at(sketch, doc * t + bins, (v >> np.uint64(9)) | np.uint64(i) << np.uint64(55))
+            np.minimum.at(sketch, doc * t + bins, (v >> np.uint64(bits)) | np.uint64(i) << np.uint64(64 - bits))
             at = np.flatnonzero(open_docs)
             full = at[(shaped[at] != _MAX).all(axis=1)]
             if len(full):

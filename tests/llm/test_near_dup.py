@@ -56,3 +56,18 @@ def test_sketch_fills_and_estimates():
     s = op.fast_sketch(h, doc, 4)
     assert (s[:3] != op._MAX).all() and (s[3] == op._MAX).all()
     assert abs((s[0] == s[1]).mean() - 2400 / 3600) < 0.15
+
+
+def test_small_sets_around_an_unlinked_pivot(spark):
+    rng, sets = np.random.default_rng(9), []
+    for common, a, b in ((4, 0, 1), (8, 0, 2), (10, 1, 1), (12, 0, 3), (12, 1, 2), (14, 1, 1), (16, 0, 4)) * 10:
+        h = rng.integers(0, 2**63, common + a + b).astype(np.uint64)
+        sets += [h[: common + a], np.delete(h, slice(common, common + a))]
+    fine = op.fast_sketch(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets), op.FINE)
+    rows = [(-1, i, False, len(x), bytearray((f & np.uint64(255)).astype(np.uint8).tobytes())) for i, (x, f) in enumerate(zip(sets, fine, strict=True))]
+    done = spark.createDataFrame(rows, "pivot long, member long, linked boolean, size long, fine binary")
+    labels = spark.createDataFrame([], "node long, component long")
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n) > 0}
+    assert len(want) == 70
+    for best in (True, False):
+        assert {tuple(r) for r in op._rest(done, labels, 80, best).collect()} >= want
