@@ -4,13 +4,14 @@ Every text gets signals of its words, symbols, repeated lines and repeated passa
 reject at once. On top of them, one cutoff for each signal and stratum (language) is chosen from labelled
 holdouts: going from the mildest to the strictest candidate of a fixed grid, a cutoff is certified if the
 exact (Clopper-Pearson) upper bound of the share of good documents that it rejects is at most
-RISK / number of signals, at the confidence DELTA shared among all strata, signals and candidates
-(Bonferroni). Of the certified cutoffs the mildest is used for which the share of bad documents that it rejects, less
-WEIGHT times that of the good, is greatest.
+RISK / number of signals, and the first that isn't ends the sequence. Such a fixed sequence needs no correction
+for its candidates, so DELTA is shared among strata and signals only (weighted Bonferroni, see levels()). Of the certified cutoffs the
+mildest is used for which the share of bad documents that it rejects, less WEIGHT times that of the good, is greatest.
 All rules together so reject at most RISK of a stratum's good documents, with probability 1 - DELTA.
 
-Strata with fewer than MIN_GOOD good labelled documents share one pooled stratum, so there are at most
-(labelled rows / MIN_GOOD) + 1 of them. Without labels, only the base rules hold.
+Strata with fewer than MIN_GOOD good labelled documents, or with so few that not even a cutoff without errors
+could be certified (see levels()), share one pooled stratum, so there are at most (labelled rows / MIN_GOOD) + 1 of
+them. A pool that is itself too small has no cutoffs and takes no share of DELTA. Without labels, only the base rules hold.
 """
 
 from __future__ import annotations
@@ -129,16 +130,40 @@ def upper_bound(errors: int, n: int, delta: float) -> float:
     return high
 
 
+def levels(good: dict[str, int], risk: float = RISK, delta: float = DELTA) -> dict[str, float]:
+    """Of good labels by stratum, the share of delta for each signal of the strata that can be certified, the largest first.
+
+    Each gets what a cutoff without errors needs at its size, and an equal part of what is left. Only the sizes count.
+    """
+    share, needs, used = delta / len(SIGNALS), {}, 0.0
+    for s in sorted(good, key=lambda s: (-good[s], s)):
+        need = (1 - risk / len(SIGNALS)) ** good[s]
+        if used + need > share:
+            break
+        needs[s], used = need, used + need
+    return {s: need + (share - used) / len(needs) for s, need in needs.items()}
+
+
+def own_strata(good: dict[str, int], risk: float = RISK, delta: float = DELTA, min_good: int = MIN_GOOD) -> list[str]:
+    """Of good labels by stratum, the strata that aren't pooled: as many of the largest as can all be certified."""
+    names = sorted((s for s in good if s and good[s] >= min_good), key=lambda s: (-good[s], s))
+    for k in range(len(names), 0, -1):
+        own = {s: good[s] for s in names[:k]}
+        if own.keys() <= levels(own | {"": sum(good.values()) - sum(own.values())}, risk, delta).keys():
+            return names[:k]
+    return []
+
+
 def choose_cutoffs(good: dict, bad: dict, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], int]:
     """(stratum, signal): the least bin that is rejected. good, bad: (stratum, signal) -> counts by bin."""
-    tests = sum(len(x) for x in good.values())
+    level = levels({s: int(sum(x)) for (s, _), x in good.items()}, risk, delta)
     chosen = {}
     for key, counts in good.items():
         n, rejected, n_bad, rejected_bad, best = int(sum(counts)), 0, int(sum(bad[key])), 0, 0.0
         for b in range(len(counts) - 1, 0, -1):
             rejected += int(counts[b])
             rejected_bad += int(bad[key][b])
-            if n == 0 or rejected > risk / len(SIGNALS) * n or upper_bound(rejected, n, delta / tests) > risk / len(SIGNALS):
+            if key[0] not in level or rejected > risk / len(SIGNALS) * n or upper_bound(rejected, n, level[key[0]]) > risk / len(SIGNALS):
                 break
             worth = rejected_bad / max(1, n_bad) - WEIGHT * rejected / n
             if worth > best:  # of equally good ones the mildest stays
@@ -154,7 +179,10 @@ def fit(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: fl
     spark = measured.sparkSession
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = measured.where("NOT base_failed AND n_words > 0").join(marks, "doc_id")
-    own = [r.stratum for r in known.where("quality = 1").groupBy("stratum").count().where(F.col("count") >= min_good).collect() if r.stratum]
+    sizes = known.where("quality = 1").groupBy("stratum").count()
+    # what has a name and under min_good is pooled in any case, so at most labelled rows / min_good + 1 rows come to the driver
+    sizes = sizes.groupBy(F.when(F.col("count") >= min_good, F.col("stratum")).otherwise("").alias("stratum")).agg(F.sum("count").alias("n"))
+    own = own_strata({r.stratum: r.n for r in sizes.collect()}, risk, delta, min_good)
     stratum = F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise("") if own else F.lit("")
     bins = known.select(stratum.alias("stratum"), "quality", F.expr("stack(%d, %s) AS (signal, bin)" % (len(SIGNALS), ", ".join(f"'{k}', cast({e} AS int)" for k, (e, _) in SIGNALS.items()))))
     keys = [(s, k) for s in [*own, ""] for k in SIGNALS]

@@ -97,6 +97,33 @@ def test_quality_thresholds(spark):
     assert kept.columns == df.columns and kept.count() == sum(got.values())
 
 
+def test_small_strata_get_cutoffs():
+    for sizes in ({"en": 2013, "": 1289}, {"en": 1200, "": 0}, {"en": 9000, "de": 8000, "fr": 3000}):
+        level = quality.levels(sizes)
+        assert sum(level.values()) <= quality.DELTA / 5 + 1e-12
+        assert level.keys() == {s for s, n in sizes.items() if n}
+        assert all(quality.upper_bound(0, sizes[s], x) <= quality.RISK / 5 for s, x in level.items())
+    assert quality.levels({"en": 1149, "": 1149}).keys() == {""} and quality.levels({"en": 1100}) == {}
+    assert quality.own_strata({"en": 2076, "de": 1100, "": 233}) == ["en"]  # 1,100 can't be certified besides and stay pooled
+    assert quality.own_strata({"en": 1100, "": 600}) == [] and quality.own_strata({"en": 1200}) == ["en"] and quality.own_strata({}) == []
+
+    def hist(top, rest):
+        return {(s, k): np.array([n - min(n, top), *[0] * (size - 2), min(n, top)]) for s, n in rest.items() for k, (_, size) in quality.SIGNALS.items()}
+
+    got = quality.choose_cutoffs(hist(0, {"en": 2013, "": 1289}), hist(500, {"en": 400, "": 160}))
+    assert got.keys() == {(s, k) for s in ("en", "") for k in quality.SIGNALS}
+    alone = quality.choose_cutoffs(hist(0, {"en": 1200, "": 0}), hist(500, {"en": 400, "": 0}))
+    assert alone.keys() == {("en", k) for k in quality.SIGNALS}
+
+
+def test_quality_cutoffs_of_the_table(spark):
+    d = "/root/testdata/sf0.1"
+    docs, marks = table(spark, "documents", d), table(spark, "labels", d)
+    got = quality.quality_verdicts(docs, marks).join(marks, "doc_id").where("NOT base_failed AND quality IS NOT NULL").collect()
+    good, bad = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
+    assert good.count(False) <= quality.RISK * len(good) and bad.count(False) > 0
+
+
 def test_quality_edge_cases(spark):
     assert quality.quality_verdicts(empty(spark), labels(spark)).count() == 0
     assert quality.quality_verdicts(odd(spark), labels(spark, [(None, 1, 1), (3, None, None), (3, 1, 0)])).count() == len(ODD)
