@@ -7,10 +7,12 @@ chi-squared over equal groups of the alphabet (more groups for longer strings),
 the alphabet's middle, and serial correlation of neighbours. The least of the three p-values, times 3, is
 the string's randomness (1: nothing speaks against a random string).
 
-False-discovery control asks the reverse: could prose give this? From every document one block of its letters per length
-class, at a hashed place, is tested in the same way; the share of these blocks that are at least as random
-is a string's p-value within its length class. Benjamini-Hochberg at RATE over all strings of
-the class gives the class's cutoff, which is never below FLOOR. Short strings, which pass the tests more easily, so need more. All that is gathered are
+False-discovery control asks the reverse: could prose give this? All letters of every document outside of these spans and strings are
+cut into consecutive blocks of each length class's least length and tested in the same way; the share of these blocks that are at least as random
+is a string's p-value within its length class. Short strings pass the tests more easily, so a shorter class's share
+bounds it as well, which counts where texts are too short for long blocks. Benjamini-Hochberg at RATE over all strings of
+the class gives the class's cutoff, which is never below FLOOR. With fewer than 1 / RATE - 1 blocks up to the class's length no string
+could ever be reported; there the battery's own p-value decides, at FLOOR. All that is gathered are
 histograms of BINS bins by length class; they count all documents.
 """
 
@@ -133,32 +135,71 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return found
 
 
-_LETTERS = re.compile("[A-Za-z]+")
-
-
-def prose_bins(text: str) -> list[tuple[int, int]]:
-    """(length class, bin) of one block of letters for each length class that the text is long enough for."""
-    found = []
-    for k, n in enumerate(CLASSES):
-        if len(text) < 4 * n:
-            break
-        at = (len(text) * 2654435761 + k * 40503) % (len(text) - 2 * n)
-        block = "".join(_LETTERS.findall(text[at : at + 2 * n]))[:n]
-        if len(block) == n:
-            found.append((k, _bin(randomness(encoding_of(block), 64))))
-    return found
-
-
 _B64 = _PLACES[-1][1]
+#: Places of the letters' bytes in the base64 alphabet, 255 for all else.
+_LETTERS = np.full(256, 255, np.uint8)
+_LETTERS[[ord(c) for c in _B64 if c.isalpha()]] = [i for c, i in _B64.items() if c.isalpha()]
+_ERFC = np.frompyfunc(math.erfc, 1, 1)
+#: Letters of blocks that are tested at a time.
+PIECE = 1 << 18
+
+
+def block_scores(codes: np.ndarray) -> np.ndarray:
+    """randomness() of each row of base64 places."""
+    rows, n = codes.shape
+    codes = codes.astype(np.int64)
+    groups = max(2, min(64, n // 5, 16))
+    group = codes * groups // 64
+    counts = np.bincount((group + groups * np.arange(rows)[:, None]).ravel(), minlength=rows * groups).reshape(rows, groups)
+    mean = n * np.bincount(np.arange(64) * groups // 64, minlength=groups) / 64
+    chi, df = ((counts - mean) ** 2 / mean).sum(axis=1), groups - 1
+    chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) / math.sqrt(2)
+    above = codes >= 32
+    up = above.sum(axis=1)
+    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
+    m = 1 + 2 * up * (n - up) / n
+    var = (m - 1) * (m - 2) / (n - 1)
+    ok = (up > 0) & (up < n) & (var > 0)
+    z = np.where(ok, np.abs(runs - m) / np.sqrt(np.where(ok, var, 1)), np.inf)
+    c = codes - codes.mean(axis=1, keepdims=True)
+    spread = (c**2).sum(axis=1)
+    serial = np.where(spread > 0, (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.where(spread > 0, spread, 1), 1.0)
+    z = np.maximum(z, np.abs((serial + 1 / n) * math.sqrt(n))) / math.sqrt(2)
+    return np.minimum(1.0, 3 * np.minimum(0.5 * _ERFC(chi).astype(float), _ERFC(z).astype(float)))
+
+
+def prose_histogram(texts: list[str]) -> np.ndarray:
+    """Blocks by length class and bin: all consecutive blocks of each text's letters, for each length class."""
+    hist = np.zeros((len(CLASSES), BINS), np.int64)
+    places = [_LETTERS[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)] for t in texts]
+    places = [x[x < 255] for x in places]
+    if not places:
+        return hist
+    lengths = np.array([len(x) for x in places])
+    first, letters = np.cumsum(lengths) - lengths, np.concatenate(places)
+    for k, n in enumerate(CLASSES):
+        blocks = lengths // n
+        within = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        starts = np.repeat(first, blocks) + n * within
+        for at in range(0, len(starts), PIECE // n):
+            scores = block_scores(letters[starts[at : at + PIECE // n, None] + np.arange(n)])
+            bins = np.maximum(0, BINS - 1 + np.ceil(10 * np.log10(np.maximum(scores, 1e-9)))).astype(np.int64)
+            hist[k] += np.bincount(bins, minlength=BINS)
+    return hist
 
 
-def encoding_of(block: str) -> list[int]:
-    return [_B64[c] for c in block]
+def outside(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans."""
+    parts, at = [], 0
+    for a, b in sorted(spans):
+        parts.append(text[at : max(at, a)])
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("size", pa.int32()), ("bin", pa.int32())]))
-_PROSE = pa.list_(pa.struct([("size", pa.int32()), ("bin", pa.int32())]))
+_PROSE = pa.list_(pa.struct([("size", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +211,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
-                found.append([{"start": a, "end": b, "size": c, "bin": d} for a, b, c, d in candidates(text, spans)])
-                prose.append([{"size": c, "bin": d} for c, d in prose_bins(text)])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, _SPAN), pa.array(found, _FOUND), pa.array(prose, _PROSE)], ["doc_id", "base", "found", "prose"])
+                strings = candidates(text, spans)
+                found.append([{"start": a, "end": b, "size": c, "bin": d} for a, b, c, d in strings])
+                prose.append(outside(text, [x[:2] for x in (*spans, *strings)]))
+            hist = prose_histogram(prose)  # of all rows, with the first
+            blocks = [[{"size": k, "bin": b, "n": hist[k, b]} for k, b in zip(*np.nonzero(hist), strict=True)], *[None] * (len(prose) - 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, _SPAN), pa.array(found, _FOUND), pa.array(blocks, _PROSE)], ["doc_id", "base", "found", "prose"])
 
 
 def cutoffs(found: dict[tuple[int, int], int], prose: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:
@@ -180,12 +224,16 @@ def cutoffs(found: dict[tuple[int, int], int], prose: dict[tuple[int, int], int]
     chosen = {}
     for size in range(len(CLASSES)):
         m = sum(n for (s, _), n in found.items() if s == size)
-        null = sum(n for (s, _), n in prose.items() if s == size)
-        rank, tail = 0, 0
+        nulls = [sum(n for (s, _), n in prose.items() if s == k) for k in range(size + 1)]
+        if m and 1 > rate * (1 + max(nulls)):
+            chosen[size] = FLOOR
+            continue
+        rank, tails = 0, [0] * (size + 1)
         for b in range(BINS - 1, FLOOR - 1, -1):
             rank += found.get((size, b), 0)
-            tail += prose.get((size, b), 0)
-            if rank and m * (1 + tail) / (1 + null) <= rate * rank:
+            tails = [t + prose.get((k, b), 0) for k, t in enumerate(tails)]
+            share = min((1 + t) / (1 + n) for t, n in zip(tails, nulls, strict=True))
+            if rank and m * share <= rate * rank:
                 chosen[size] = b
     return chosen
 
@@ -196,14 +244,14 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have none; repeated rows each get theirs; an empty table gives none. Other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    span, cand, prose = ("array<struct<start:bigint,end:bigint,kind:string>>", "array<struct<start:bigint,end:bigint,size:int,bin:int>>", "array<struct<size:int,bin:int>>")
+    span, cand, prose = ("array<struct<start:bigint,end:bigint,kind:string>>", "array<struct<start:bigint,end:bigint,size:int,bin:int>>", "array<struct<size:int,bin:int,n:bigint>>")
     scanned = materialise(rows.mapInArrow(trimmed(_scan), f"doc_id long, base {span}, found {cand}, prose {prose}"), "secrets")
 
-    def histogram(column: str) -> dict[tuple[int, int], int]:  # at most classes x bins rows
-        one = scanned.select(F.explode(column).alias("x")).groupBy("x.size", "x.bin").count()
+    def histogram(column: str, n: str) -> dict[tuple[int, int], int]:  # at most classes x bins rows
+        one = scanned.select(F.explode(column).alias("x")).groupBy("x.size", "x.bin").agg(F.sum(F.expr(n)))
         return {(r[0], r[1]): r[2] for r in one.collect()}
 
-    cut = cutoffs(histogram("found"), histogram("prose"), rate)
+    cut = cutoffs(histogram("found", "1"), histogram("prose", "x.n"), rate)
     secret = " OR ".join([f"(c.size = {s} AND c.bin >= {b})" for s, b in sorted(cut.items())] or ["false"])
     rank = "transform({}, c -> struct(c.start AS start, {} AS rank, c.end AS end))"
     base = rank.format("base", "array_position(array('assign', 'access', 'hex'), c.kind)")

@@ -280,6 +280,34 @@ def test_random_strings_are_found(spark):
     assert not any(got[d] for d, _ in words) and not any(got[d] for d, _ in prose)
 
 
+def test_null_distribution_is_of_whole_texts():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdluETAOIN") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    texts = ["", "é 12", " ".join(words), " ".join(words[:30]), *words[:50]]
+    want = np.zeros((len(secrets.CLASSES), secrets.BINS), int)
+    for t in texts:
+        letters = [secrets._B64[c] for c in t if c.isascii() and c.isalpha()]
+        for k, n in enumerate(secrets.CLASSES):
+            for at in range(0, len(letters) - n + 1, n):
+                want[k, secrets._bin(secrets.randomness(letters[at : at + n], 64))] += 1
+    assert (secrets.prose_histogram(texts) == want).all() and want.sum() > 1000
+
+
+def test_random_strings_among_many_paths_and_in_short_texts(spark):
+    rng = random.Random(12)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = [(r.doc_id, r.text) for r in table(spark, "documents", "/root/testdata/sf0.01").collect()]
+    prose = [(d, t) for d, t in prose if not brute.secrets(t)[1]]
+    many = [(d, t + " /var/lib/some/very/long/path/of/a/file1" * 3) for d, t in prose]  # 3 strings a document that aren't secrets
+    short = [(d, " ".join(t.split())[:100]) for d, t in prose]
+    for docs, length in ((many, 44), (short, 70)):
+        keys = [(10_000 + i, t + " " + "".join(rng.choice(b64) for _ in range(length)) + " end") for i, (_, t) in enumerate(docs[:60])]
+        df = spark.createDataFrame(docs + keys, "doc_id long, text string")
+        got = {d: s for d, s in rows(secrets.secret_digests(secrets.secret_spans(df)), "doc_id", "spans")}
+        assert sum("random:" in got[d] for d, _ in keys) >= 54
+        assert not any(got[d] for d, _ in docs)
+
+
 def test_secrets_edge_cases(spark):
     assert secrets.secret_spans(empty(spark)).count() == 0
     assert secrets.secret_spans(odd(spark)).count() == len(ODD)
