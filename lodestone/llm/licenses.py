@@ -8,6 +8,9 @@ shuffled. The known digests are broadcast below a checked number of rows.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,67 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+#: Full texts: a file for each license.
+TEXTS = Path(__file__).with_name("license_texts")
+#: License: names in statements, the first one also as the text's title. Those without a file are known by statements only.
+NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "ISC": ["ISC License", "ISC"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "2-Clause BSD License", "BSD-2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "3-Clause BSD License", "BSD-3-Clause License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache 2.0"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "Artistic-1.0": ["Artistic License", "Artistic License 1.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "EPL 2.0"],
+    "GFDL-1.2": ["GNU Free Documentation License, Version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, Version 1.3"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0"],
+}
+for _id, _name, _short in (("GPL", "GNU General Public License", "GPL"), ("LGPL", "GNU Lesser General Public License", "LGPL"), ("AGPL", "GNU Affero General Public License", "AGPL")):
+    for _v in {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("3.0",)}[_id]:
+        _brief = _v.removesuffix(".0")
+        _own = "GNU Library General Public License" if (_id, _v) == ("LGPL", "2.0") else _name
+        NAMES[f"{_id}-{_v}"] = [x for v in dict.fromkeys((_brief, _v)) for x in (f"{_own}, version {v}", f"{_own} version {v}", f"{_own} v{v}", f"{_own} {v}", f"{_short} v{v}", f"{_short}v{v}", f"{_short} {v}", f"{_short}-{v}")]
+for _v in ("3.0", "4.0"):
+    for _kind, _name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        NAMES[f"CC-{_kind}-{_v}"] = [f"CC {_kind} {_v}", f"Creative Commons {_name} {_v} International License", f"Creative Commons {_name} {_v} License", f"Creative Commons {_name} {_v}"]
+
+
+def statements(license: str) -> list[str]:
+    """One-line statements of a license: SPDX tags, and its names in the usual sentences."""
+    ids = [license, f"{license}-only", f"{license}-or-later", f"{license}+"] if re.match("A?L?GPL-|GFDL-", license) else [license]
+    starts = [f"{a}{b}{c}" for a in ("", "This work is ", "This software is ", "This project is ", "This program is ", "This code is ", "This file is ") for b in ("licensed", "released", "distributed") for c in (" under ", " under the ", " under a ")]
+    starts += ["License: ", "License: the ", "Available under the "]
+    names = dict.fromkeys([*NAMES[license], *(f"{n} license" for n in NAMES[license] if "license" not in n.lower()), *ids])
+    return [f"SPDX-License-Identifier: {i}" for i in ids] + [f"{a}{n}" for a in starts for n in names]
+
+
+def full_texts(license: str) -> list[str]:
+    """A license's whole text, also with its title, without its appendix or its clauses' numbers, and its header."""
+    path = TEXTS / f"{license}.txt"
+    if not path.exists():
+        return []
+    text = path.read_text()
+    out = [text]
+    end = re.search(r"(?m)^\s*END OF TERMS AND CONDITIONS\s*$", text)
+    if end:
+        out += [text[: end.end()], text[: end.start()]]
+    if license == "Apache-2.0":
+        out.append(text[text.index("Licensed under the Apache License") :])
+    if license == "MPL-2.0":
+        out.append(" ".join(text[text.index("This Source Code Form is subject to") : text.index("If it is not possible")].split()))
+    if license in ("BSD-2-Clause", "BSD-3-Clause", "Zlib"):
+        out.append(re.sub(r"(?m)^\d\. ", "", text))
+    if license in ("BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense"):
+        out += [f"{a}{n}\n\n{x}" for x in list(out) for n in NAMES[license] for a in ("", "The ")]
+    return out
+
+
+KNOWN += [(x, t) for x in NAMES for t in (*full_texts(x), *statements(x))]
 
 
 def canonical(text: Column) -> Column:

@@ -379,3 +379,14 @@ def test_licenses(spark):
     assert got == [(1, "MIT", 0, ""), (2, None, 0, ""), (3, None, 1, "MIT"), (4, None, 0, ""), (5, None, 0, ""), (5, None, 0, ""), (6, None, 3, "CC-BY-NC-4.0,MIT"), (6, None, 3, "CC-BY-NC-4.0,MIT"), (7, None, 0, "")]
     assert licenses.license_matches(empty(spark)).count() == 0
     assert licenses.license_matches(odd(spark)).count() == len(ODD)
+
+
+def test_license_catalogue(spark):
+    ids = ["Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
+    assert ids == sorted(p.stem for p in licenses.TEXTS.glob("*.txt"))
+    data = [(i, "Copyright (c) 2021, Some One. All rights reserved.\n\n" + (licenses.TEXTS / f"{x}.txt").read_text()) for i, x in enumerate(ids)]
+    said = [("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("This project is licensed under the Mozilla Public License 2.0.", "MPL-2.0")]
+    data += [(100 + i, f"some code\n{x}\nmore") for i, (x, _) in enumerate(said)]
+    got = {r.doc_id: r for r in licenses.license_matches(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(ids))] == ids
+    assert [got[100 + i].line_licenses for i in range(len(said))] == [x for _, x in said]
