@@ -8,7 +8,8 @@
 3. Slot // SHARD is a sequence's shard. What a task has for one shard travels as one compressed row, and each
    shard is one partition, which puts the records in their places and writes one file: records of one size, so slot s of a
    shard is at byte (s % SHARD) * STRIDE, and a reader can go on from any slot. A file is written beside its place
-   and renamed, so a task that runs again does no harm, and a shard that is there already is not written again.
+   and renamed, so a task that runs again does no harm. What an earlier run left below the same path is replaced or removed; the
+   manifest goes first and comes back last, so a folder with a manifest is whole.
 
 Record: LENGTH ids (uint16, little-endian), filled up with END_OF_TEXT; a document's last sequence ends with END_OF_TEXT. The order
 table has each slot's document, part and number of ids, so shards are nothing but ids and can be mapped into memory.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,11 +156,22 @@ def _write(path: str, total: int, length: int, shard_size: int):
 def _store(path: str, shard: int, data: bytes) -> None:
     fs, root = pa.fs.FileSystem.from_uri(path)
     name = f"{root}/shard-{shard:08d}.bin"
-    if fs.get_file_info(name).size != len(data):
-        beside = f"{root}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(beside) as out:
-            out.write(data)
-        fs.move(beside, name)
+    beside = f"{root}/.shard-{shard:08d}-{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(beside) as out:
+        out.write(data)
+    fs.move(beside, name)
+
+
+def _clear(path: str, shards: int) -> None:
+    """Makes the folder, and takes away an earlier run's manifest, shards beyond the number of shards, and files that were never renamed."""
+    fs, root = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(root, recursive=True)
+    for info in fs.get_file_info(pa.fs.FileSelector(root)):
+        if info.base_name == "manifest" and not info.is_file:
+            fs.delete_dir(info.path)
+        beyond = re.fullmatch(r"shard-(\d+)\.bin", info.base_name)
+        if re.fullmatch(r"\.shard-\d+-\d+", info.base_name) or (beyond and int(beyond[1]) >= shards):
+            fs.delete_file(info.path)
 
 
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, shard_size: int = SHARD, key: int = KEY) -> DataFrame:
@@ -176,11 +189,13 @@ def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     for (task, _), start in zip(counts, np.cumsum([0, *[n for _, n in counts]]), strict=False):
         first[task] = start
     spec = {"records": total, "record_bytes": 2 * length, "ids_per_record": length, "records_per_shard": shard_size, "key": key, "end_of_text": END_OF_TEXT}
-    spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    _clear(path, -(-total // shard_size))
     shards = max(1, -(-total // shard_size))
     dealt = catalogue.mapInArrow(trimmed(_deal(first, total, shard_size, key)), _PART).repartitionById(shards, "shard")
     order = dealt.mapInArrow(trimmed(_write(path, total, length, shard_size)), "slot long, shard long, doc_id long, part int, n_tokens int")
-    return materialise(order, "order")
+    order = materialise(order, "order")
+    spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return order
 
 
 def read_shard(data: bytes, length: int = LENGTH, start: int = 0) -> np.ndarray:

@@ -218,6 +218,18 @@ def test_shards(spark, plain, sf_dir, tmp_path):
         assert ids == [*plain(r.text), tokenizer.END_OF_TEXT]
 
 
+def test_shards_again_in_the_same_folder(spark, sf_dir, tmp_path):
+    docs = table(spark, "documents", sf_dir)
+    one, two = f"file://{tmp_path}/one", f"file://{tmp_path}/two"
+    token_output.write_shards(docs, one, shard_size=100, length=64)
+    (tmp_path / "one/.shard-00000000-7").write_bytes(b"left by a task that died")
+    changed = docs.where("doc_id < 100").selectExpr("doc_id", "upper(text) AS text")
+    for to in (one, two):
+        token_output.write_shards(changed, to, shard_size=100, length=64, key=7)
+    files = [{f.name: f.read_bytes() for f in (tmp_path / x).iterdir() if f.is_file()} for x in ("one", "two")]
+    assert files[0] == files[1] and len(files[0]) > 1 and list((tmp_path / "one/manifest").glob("part-*"))
+
+
 def test_shards_edge_cases(spark, tmp_path):
     assert token_output.write_shards(empty(spark), f"file://{tmp_path}/none").count() == 0
     order = token_output.write_shards(odd(spark), f"file://{tmp_path}/odd")
