@@ -35,6 +35,9 @@ class _Reader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.group = int(options.get("filesPerPartition", 500))
         self.content = options.get("content", "true").lower() == "true"
+        most = options.get("mostBytes", str(MOST_BYTES)).lower()
+        self.most = None if most == "none" else int(most)
+        self.extensions = tuple(x for x in options.get("extensions", "").split(",") if x)
 
     def partitions(self) -> list[_Files]:
         fs, root = pa.fs.FileSystem.from_uri(self.root)
@@ -46,7 +49,10 @@ class _Reader(DataSourceReader):
         fs, root = pa.fs.FileSystem.from_uri(self.root)
         for path, size in partition.files:
             content = error = None
-            if self.content and size <= MOST_BYTES:
+            wanted = self.content and (not self.extensions or path.lower().endswith(self.extensions))
+            if wanted and self.most is not None and size > self.most:
+                error = f"larger than {self.most} bytes"
+            elif wanted:
                 try:
                     with fs.open_input_stream(f"{root}/{path}") as f:
                         content = f.read().decode()
@@ -56,7 +62,11 @@ class _Reader(DataSourceReader):
 
 
 class RepoSource(DataSource):
-    """spark.read.format("repo").load(root): path (relative), name, size, content, error."""
+    """spark.read.format("repo").load(root): path (relative), name, size, content, error.
+
+    Options: mostBytes (a larger file has error in place of content; "none": no limit), extensions (comma-joined; other
+    files have no content), content, filesPerPartition.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -75,7 +85,8 @@ def read_repo(spark: SparkSession, root: str, *, exclude: list[str] | None = Non
     A file that isn't UTF-8 keeps its row, with error in place of content.
     """
     spark.dataSource.register(RepoSource)
-    df = spark.read.format("repo").option("filesPerPartition", files_per_partition).load(root if "://" in root else f"file://{root}")
+    source = spark.read.format("repo").option("filesPerPartition", files_per_partition).option("mostBytes", "none" if most_bytes is None else most_bytes)
+    df = source.option("extensions", ",".join(extensions or [])).load(root if "://" in root else f"file://{root}")
     if exclude:
         df = df.where((without_substrings if substring else without_globs)(F.col("path"), exclude))
     if extensions:

@@ -175,3 +175,13 @@ def test_similar_takes_filter_first(spark, sf_dir):
     got = search.similar(v, q0.embedding, 1).first()
     assert got.id == 3 and abs(got.score - 1) < 1e-6
     assert {r.label for r in search.similar(v, q0.embedding, 20, where=F.col("label") == 2).collect()} == {2}
+
+
+def test_large_source_files_are_read(spark, tmp_path):
+    big = "// x\n" * 300_000 + "class Far { }\n"
+    for name in ("a.cs", "b.ts", "c.bin"):
+        (tmp_path / name).write_text(big)
+    for df in (repo.csharp_files(spark, str(tmp_path)), repo.angular_files(spark, str(tmp_path))):
+        assert [(r.size, r.content == big, r.error) for r in df.collect()] == [(len(big), True, None)]
+    raw = spark.read.format("repo").load(f"file://{tmp_path}").collect()
+    assert len(raw) == 3 and all(r.content is None and "larger than" in r.error for r in raw)
