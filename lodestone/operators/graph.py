@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,27 +41,28 @@ def one_hop(edges: DataFrame, node: str) -> DataFrame:
     return out.unionByName(edges.where(F.col("dst") == node).select(F.col("src").alias("id"), "type", F.lit("in").alias("direction")))
 
 
-def closure(edges: DataFrame, start: DataFrame, *, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(root, id, depth, via): everything that can be reached from the start nodes (id), by fewest steps; the start itself at depth 0.
 
-    One join a level: the frontier meets the edges, and what was seen before goes. via is the smallest parent.
+    One join a level: the frontier meets the edges, and what was seen before goes. via is the smallest parent. Without
+    max_depth it goes on until nothing new is reached.
     """
     seen = written(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct(), "closure")
+    frontier, depth = seen, 0
     levels = [seen]
-    frontier, visited = seen, seen.select("root", "id")
     links = edges.select(F.col("src"), F.col("dst")).distinct()
-    for depth in range(1, max_depth + 1):
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        visited = reduce(DataFrame.unionByName, levels)
         step = frontier.join(links, frontier["id"] == links["src"]).groupBy("root", "dst").agg(F.min("id").alias("via"))
-        step = step.select("root", F.col("dst").alias("id"), F.lit(depth).alias("depth"), "via").join(visited, ["root", "id"], "left_anti")
+        step = step.select("root", F.col("dst").alias("id"), F.lit(depth).alias("depth"), "via").join(visited.select("root", "id"), ["root", "id"], "left_anti")
         frontier = written(step, "closure")
         if frontier.isEmpty():
             break
         levels.append(frontier)
-        visited = visited.unionByName(frontier.select("root", "id"))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+        if len(levels) > 16:  # the plan stays small however deep the graph is
+            levels = [written(reduce(DataFrame.unionByName, levels), "closure")]
+    return reduce(DataFrame.unionByName, levels)
 
 
 # --- architecture from graphs

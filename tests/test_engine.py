@@ -185,3 +185,10 @@ def test_large_source_files_are_read(spark, tmp_path):
         assert [(r.size, r.content == big, r.error) for r in df.collect()] == [(len(big), True, None)]
     raw = spark.read.format("repo").load(f"file://{tmp_path}").collect()
     assert len(raw) == 3 and all(r.content is None and "larger than" in r.error for r in raw)
+
+
+def test_closure_of_a_long_chain(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "src string, dst string")
+    got = graph.closure(e, spark.createDataFrame([("n0",)], "id string"))
+    assert {(r.id, r.depth, r.via) for r in got.collect()} == {(f"n{i}", i, f"n{i - 1}" if i else None) for i in range(71)}
+    assert graph.closure(e, spark.createDataFrame([("n0",)], "id string"), max_depth=2).count() == 3
