@@ -175,8 +175,20 @@ def str_sizes_previews(spark, d):
     return docs.select("doc_id", tx.byte_size(F.col("n_chars")).alias("size"), short.alias("preview"))
 
 
+@query()
+def str_previews(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.line_preview(F.col("text")).alias("preview"))
+
+
 @query("""SELECT c_custkey AS id, 'customer' AS kind FROM customer WHERE c_custkey <= 50 UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_suppkey > 50""")
 def jn_add_missing(spark, d):
     have = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 50").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"))
     want = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("kind"))
     return relational.add_missing(have, want)
+
+
+@query("SELECT c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT p_partkey, 'part' FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)")
+def jn_add_missing_all(spark, d):
+    have = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"))
+    want = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.lit("part").alias("kind"))
+    return relational.add_missing(have, want)

@@ -418,3 +418,15 @@ def snk_upsert(spark, d):
     to.upsert(part.where("id % 5 = 0").select("id", (F.col("price") * 2).alias("price")))
     to.delete(F.col("id") % 7 == 0)
     return to.read()
+
+
+@query("""SELECT id, name, price FROM (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part
+    UNION ALL SELECT -p_partkey, NULL, p_retailprice * 2 FROM part WHERE p_partkey % 5 = 0) WHERE id % 7 <> 0""")
+def snk_upsert_all(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
+    to = store.Table(spark, shared_folder(spark, "table"), ["id"])
+    to.upsert(part)
+    more = part.where("id % 5 = 0").select(F.explode(F.array(F.col("id"), -F.col("id"))).alias("id"), (F.col("price") * 2).alias("price"))
+    to.upsert(more)
+    to.delete(F.col("id") % 7 == 0)
+    return to.read()

@@ -192,3 +192,20 @@ def test_closure_of_a_long_chain(spark):
     got = graph.closure(e, spark.createDataFrame([("n0",)], "id string"))
     assert {(r.id, r.depth, r.via) for r in got.collect()} == {(f"n{i}", i, f"n{i - 1}" if i else None) for i in range(71)}
     assert graph.closure(e, spark.createDataFrame([("n0",)], "id string"), max_depth=2).count() == 3
+
+
+def test_previews_of_whole_table(spark, sf_dir):
+    def preview(text, most=300):
+        if len(text) <= most:
+            return text
+        lines, n = [], 0
+        for line in text.split("\n"):
+            if n + len(line) > most:
+                break
+            lines.append(line)
+            n += len(line) + 1
+        return "\n".join(lines) + "\n..." if lines else text[:most] + "..."
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r.preview for r in q.str_previews(spark, sf_dir).collect()}
+    assert got == {i: preview(t) for i, t in texts.items()} and sum(len(t) > 300 for t in texts.values()) > len(texts) / 2
