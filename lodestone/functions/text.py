@@ -75,10 +75,11 @@ def line_preview(text: Column, most: int = 300) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """B to PB with two decimals."""
-    out = F.format_string("%.2f PB", n / F.lit(1024.0**5))
+    """B to PB with two decimals, exact ties to the even one."""
+    shown = lambda power: F.bround(n / F.lit(1024.0**power), 2)
+    out = F.format_string("%.2f PB", shown(5))
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
-        out = F.when(n < F.lit(1024.0 ** (power + 1)), F.format_string(f"%.2f {unit}", n / F.lit(1024.0**power))).otherwise(out)
+        out = F.when(n < F.lit(1024.0 ** (power + 1)), F.format_string(f"%.2f {unit}", shown(power))).otherwise(out)
     return out
 
 
@@ -108,15 +109,14 @@ def glob_regex(pattern: str) -> str:
 
 
 def line_stats(text: Column) -> Column:
-    """struct<line_count, empty_line_count, comment_line_count>; an empty text has one empty line."""
-    lines = F.split(text, "\n", -1)
-    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    starts = lambda x: F.startswith(trimmed(x), F.lit("#")) | F.startswith(trimmed(x), F.lit("//")) | F.startswith(trimmed(x), F.lit("/*")) | F.startswith(trimmed(x), F.lit("*"))
-    return F.struct(
-        F.size(lines).cast("long").alias("line_count"),
-        F.size(F.filter(lines, lambda x: trimmed(x) == "")).cast("long").alias("empty_line_count"),
-        F.size(F.filter(lines, starts)).cast("long").alias("comment_line_count"),
-    )
+    """struct<line_count, empty_line_count, comment_line_count>; an empty text has one empty line. One match a line."""
+    marks = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_extract(x, r"^\s*(#|//|/\*|\*|\S)?", 1))
+    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("line_count", "empty_line_count", "comment_line_count")])
+    one = lambda when: F.when(when, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return F.aggregate(marks, start, lambda a, m: F.struct(
+        (a["line_count"] + 1).alias("line_count"), (a["empty_line_count"] + one(m == "")).alias("empty_line_count"),
+        (a["comment_line_count"] + one(m.isin("#", "//", "/*", "*"))).alias("comment_line_count"),
+    ))
 
 
 def stable_id(*parts: Column) -> Column:
@@ -135,3 +135,30 @@ def clean_jsdoc(text: Column) -> Column:
     inner = F.regexp_replace(F.regexp_replace(text, r"^\s*/\*\*+", ""), r"\*/\s*$", "")
     lines = F.transform(F.split(inner, "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*\*?\s?", ""), r"\s+$", ""))
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
+
+
+# --- texts of entities for embedding
+def class_text(name: Column, namespace: Column, access: Column, modifier: Column, bases: Column, content: Column | None = None) -> Column:
+    """A class as a text: its name, namespace, access, modifier, bases, and its content if there is any."""
+    line = lambda label, value: F.concat(F.lit(label), value, F.lit("\n"))
+    head = F.concat(
+        F.lit("Class: "), F.coalesce(name, F.lit("None")), F.lit(" in namespace "), F.coalesce(namespace, F.lit("None")), F.lit("\n"),
+        line("Access: ", F.coalesce(access, F.lit("unknown"))), line("Modifier: ", F.coalesce(modifier, F.lit("none"))), line("Inheritance: ", F.array_join(F.coalesce(bases, F.array().cast("array<string>")), ", ")),
+    )
+    return head if content is None else F.concat(head, F.when(F.coalesce(content, F.lit("")) != "", F.concat(F.lit("\nContent:\n"), content, F.lit("\n"))).otherwise(""))
+
+
+def classes_text(classes: Column) -> Column:
+    """A list of array<struct<name, n_methods, n_properties>>."""
+    lines = F.transform(classes, lambda c: F.concat(F.lit("- "), c["name"], F.lit(": "), c["n_methods"].cast("string"), F.lit(" methods, "), c["n_properties"].cast("string"), F.lit(" properties\n")))
+    return F.when(F.coalesce(F.size(classes), F.lit(0)) <= 0, "No classes found.").otherwise(F.array_join(lines, ""))
+
+
+def interfaces_text(names: Column) -> Column:
+    return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, "No interfaces found.").otherwise(F.array_join(F.transform(names, lambda n: F.concat(F.lit("- "), n, F.lit("\n"))), ""))
+
+
+def file_text(path: Column, language: Column, namespace: Column, classes: Column, interfaces: Column) -> Column:
+    """A file as a text: its path, language and namespace, and the lists of its classes and interfaces."""
+    none = lambda c: F.coalesce(c, F.lit("None"))
+    return F.concat(F.lit("\nFile: "), path, F.lit("\nLanguage: "), none(language), F.lit("\nNamespace: "), none(namespace), F.lit("\n\nClasses:\n"), classes_text(classes), F.lit("\n\nInterfaces:\n"), interfaces_text(interfaces), F.lit("\n"))

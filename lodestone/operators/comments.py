@@ -29,8 +29,8 @@ def csharp(text: str) -> list[dict]:
     head = text[: m.start()] if (m := re.search(r"\b(?:namespace|class)\s+\w", text)) else text
     if m := re.search(r"/\*\*.*?\*/", head, re.S):
         rows.append(row("file", None, _plain_jsdoc(m[0])))
-    elif m := re.match(r"\s*((?:[ \t]*///[^\n]*\n?)+)", head):
-        rows.append(row("file", None, _plain_xml(m[1])))
+    elif lines := re.findall(r"///[ \t]*([^\r\n]*)", head):
+        rows.append(row("file", None, "\n".join(lines)))
     for m in _CS_MEMBER.finditer(text):
         block, line = m[1], m[2].strip()
         part = re.search(r"<summary>(.*?)</summary>", block, re.S)
@@ -43,29 +43,33 @@ def csharp(text: str) -> list[dict]:
             rows.append(row("method", k[1], summary, _plain_xml(back[1]) if back else None, given))
         elif k := re.search(r"(\w+)\s*$", line):
             rows.append(row("property", k[1], summary))
-    rows += [row("comment", None, x.strip()) for x in re.findall(r"///\s?([^\n]*)", text)]
-    return rows + _todos(re.findall(r"//\s*(TODO[^\n]*)", text))
+    rows += [row("comment", None, x.strip("/ \r")) for x in re.findall(r"///[^\n]*", text)]
+    return rows + _todos(_OPEN.findall(text))
+
+
+#: The text of an open task in a line comment.
+_OPEN = re.compile(r"//[ \t]*TODO:?[ \t]*([^\r\n]*)")
 
 
 def _todos(found: list[str]) -> list[dict]:
-    return [row("todo", None, x.strip("/ ").strip()) for x in found]
+    return [row("todo", None, x.strip()) for x in found]
 
 
 def typescript(text: str) -> list[dict]:
     rows = []
     if m := re.match(r"\s*(/\*\*.*?\*/)", text, re.S):
         rows.append(row("file", None, _plain_jsdoc(m[1])))
-    for m in re.finditer(r"(/\*\*(?:(?!\*/).)*\*/)\s*(?:@\w+\([^)]*\)\s*)*(?:export\s+)?(?:default\s+)?(?:abstract\s+|async\s+)?(class|function|const|let)\s+(\w+)", text, re.S):
+    for m in re.finditer(r"(/\*\*(?:(?!\*/).)*\*/)\s*(?:@\w+\([^)]*\)\s*)*(?:export\s+)?(?:default\s+)?(?:abstract\s+|async\s+)?(?:(class|function|const|let)\s+(\w+)|(?:(?:public|private|protected|static|async|get|set)\s+)*(\w+)\s*\()", text, re.S):
         plain = _plain_jsdoc(m[1])
         summary = next((x.strip() for x in plain.split("\n") if x.strip() and not x.strip().startswith("@")), "")
         given = [(b, c.strip()) for b, c in re.findall(r"@param\s+(?:\{[^}]*\}\s*)?(\w+)\s*-?\s*([^\n]*)", plain)]
         back = re.search(r"@returns?\s+(?:\{[^}]*\}\s*)?([^\n]*)", plain)
-        rows.append(row("class" if m[2] == "class" else "function", m[3], summary, back[1].strip() if back else None, given))
+        rows.append(row("class" if m[2] == "class" else "function" if m[2] else "method", m[3] or m[4], summary, back[1].strip() if back else None, given))
     for m in re.finditer(r"@Component\(\s*\{([^}]+)\}", text):
         values = re.findall(r"(selector|templateUrl)\s*:\s*['\"]([^'\"]+)['\"]", m[1]) + [("styleUrls", x) for part in re.findall(r"styleUrls\s*:\s*\[([^\]]*)\]", m[1]) for x in re.findall(r"['\"]([^'\"]+)['\"]", part)]
         rows.append(row("component", dict(values).get("selector"), "", None, values))
     rows += [row("comment", None, _plain_jsdoc(x)) for x in re.findall(r"/\*\*.*?\*/", text, re.S)]
-    return rows + _todos(re.findall(r"//\s*(TODO[^\n]*)", text))
+    return rows + _todos(_OPEN.findall(text))
 
 
 def python(text: str) -> list[dict]:
@@ -83,7 +87,7 @@ def python(text: str) -> list[dict]:
     return rows + [row("comment", None, x) for x in notes] + _todos([x for x in notes if x.lower().startswith("todo")])
 
 
-_HASH = {"python", "py", "ruby", "perl", "bash", "sh", "yaml", "r"}
+_HASH = {"python", "py", "ruby", "rb", "perl", "shell", "bash", "sh", "yaml", "r"}
 _DASH = {"sql", "lua", "haskell", "ada"}
 
 
@@ -91,7 +95,7 @@ def generic(language: str, text: str) -> list[dict]:
     mark = "#" if language in _HASH else "--" if language in _DASH else "//"
     lines = [x.strip()[len(mark) :].strip() for x in text.split("\n") if x.strip().startswith(mark)]
     blocks = [_plain_jsdoc(x) for x in re.findall(r"/\*.*?\*/", text, re.S)]
-    return [row("comment", None, x) for x in lines] + [row("block", None, x) for x in blocks] + _todos([x for x in lines + blocks if "todo" in x.lower()])
+    return [row("comment", None, x) for x in lines] + [row("block", None, x) for x in blocks] + _todos([x for x in lines if x.lower().startswith("todo")] + [m[1] for x in blocks if (m := re.search(r"TODO:?[ \t]*([^\r\n]*)", x))])
 
 
 _READERS = {"csharp": csharp, "cs": csharp, "c#": csharp, "typescript": typescript, "ts": typescript, "javascript": typescript, "js": typescript, "python": python, "py": python}

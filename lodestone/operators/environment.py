@@ -23,20 +23,24 @@ CONFIG_SUFFIXES = (".config", ".ini", ".json", ".toml", ".xml", ".yaml", ".yml")
 _REQUIREMENT = r"^\s*([A-Za-z0-9._\[\],-]+)\s*(?:(===|==|>=|<=|~=|!=|>|<)\s*([^;#\s]+))?"
 
 
-def packages(files: DataFrame) -> DataFrame:
-    """(path, ecosystem, scope, name, version) from package.json, requirements.txt and project files; of a repeated name the last version counts."""
+def packages(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keep, path, ecosystem, scope, name, version) from package.json, requirements.txt and project files; of a project package's repeats the last version counts.
+
+    keep are columns that name a tree, for files of many trees.
+    """
+    k = keep or []
     kind = "struct<dependencies:map<string,string>,devDependencies:map<string,string>,peerDependencies:map<string,string>>"
-    npm = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select("path", F.from_json("content", kind).alias("j"))
+    npm = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select(*k, "path", F.from_json("content", kind).alias("j"))
     scopes = F.array(*[F.struct(F.lit(s).alias("scope"), F.col(f"j.{s}").alias("m")) for s in ("dependencies", "devDependencies", "peerDependencies")])
-    npm = npm.select("path", F.explode(scopes).alias("s")).select("path", "s.scope", F.explode("s.m").alias("name", "version"))
-    npm = npm.select("path", F.lit("npm").alias("ecosystem"), "scope", "name", "version")
-    line = files.where(F.col("path").rlike(r"(^|/)requirements\.txt$")).select("path", F.explode(F.split("content", "\n", -1)).alias("line")).where("trim(line) != '' AND NOT startswith(trim(line), '#')")
+    npm = npm.select(*k, "path", F.explode(scopes).alias("s")).select(*k, "path", "s.scope", F.explode("s.m").alias("name", "version"))
+    npm = npm.select(*k, "path", F.lit("npm").alias("ecosystem"), "scope", "name", "version")
+    line = files.where(F.col("path").rlike(r"(^|/)requirements\.txt$")).select(*k, "path", F.explode(F.split("content", "\n", -1)).alias("line")).where("trim(line) != '' AND NOT startswith(trim(line), '#')")
     part = lambda g: F.regexp_extract("line", _REQUIREMENT, g)
-    pip = line.select("path", F.lit("pip").alias("ecosystem"), F.lit("dependencies").alias("scope"), part(1).alias("name"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("latest")).alias("version")).where("name != ''")
+    pip = line.select(*k, "path", F.lit("pip").alias("ecosystem"), F.lit("dependencies").alias("scope"), part(1).alias("name"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("latest")).alias("version")).where("name != ''")
     include = r'<PackageReference\s+Include="([^"]+)"\s+Version="([^"]+)"'
     pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(include), F.lit(1)).alias("name"), F.regexp_extract_all("content", F.lit(include), F.lit(2)).alias("version"))
-    net = files.where(F.col("path").rlike(r"\.csproj$")).select("path", F.posexplode(pairs).alias("seq", "p")).groupBy(F.col("p.name").alias("name")).agg(F.max_by("p.version", F.struct("path", "seq")).alias("version"), F.max("path").alias("path"))
-    return npm.unionByName(pip).unionByName(net.select("path", F.lit("nuget").alias("ecosystem"), F.lit("dependencies").alias("scope"), "name", "version"))
+    net = files.where(F.col("path").rlike(r"\.csproj$")).select(*k, "path", F.posexplode(pairs).alias("seq", "p")).groupBy(*k, F.col("p.name").alias("name")).agg(F.max_by("p.version", F.struct("path", "seq")).alias("version"), F.max("path").alias("path"))
+    return npm.unionByName(pip).unionByName(net.select(*k, "path", F.lit("nuget").alias("ecosystem"), F.lit("dependencies").alias("scope"), "name", "version"))
 
 
 def legacy_requirement(line: Column) -> Column:
@@ -45,8 +49,9 @@ def legacy_requirement(line: Column) -> Column:
     return F.struct(F.trim(parts[0]).alias("name"), F.coalesce(F.trim(F.get(parts, F.lit(1))), F.lit("latest")).alias("version"))
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """(category, key, value, path) of files (path, content), without repeats. Values of .env files are never read out."""
+def facts(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keep, category, key, value, path) of files (keep, path, content), without repeats. Values of .env files are never read out."""
+    k = keep or []
     path = F.col("path")
     struct = lambda c, k, v: F.struct(F.lit(c).alias("category"), k.alias("key"), v.alias("value"))
     none = F.lit("")
@@ -58,15 +63,15 @@ def facts(files: DataFrame) -> DataFrame:
         F.when(path.rlike(r"\.ya?ml$") & F.contains("content", F.lit("apiVersion:")) & F.contains("content", F.lit("kind:")) & F.col("content").rlike("kind: (Deployment|Service|Pod)"), struct("container", F.lit("kubernetes-manifest"), none)),
         F.when(path.rlike(r"(^|/)(appsettings|config|settings)[^/]*$") & reduce(lambda a, b: a | b, [F.endswith(path, F.lit(s)) for s in CONFIG_SUFFIXES]), struct("config_file", path, none)),
     )
-    rows = files.select("path", F.explode(F.array_compact(F.concat(marks, own))).alias("f")).select("f.*", "path")
-    env = files.where(F.startswith(base, F.lit(".env")) | F.endswith(base, F.lit(".env"))).select("path", F.explode(F.split("content", "\n", -1)).alias("line")).where("trim(line) != '' AND NOT startswith(trim(line), '#')")
-    env = env.select(F.lit("env_variable").alias("category"), F.trim(F.regexp_extract("line", r"^\s*(?:export\s+)?([^=]*)", 1)).alias("key"), none.alias("value"), "path")
-    manifest = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select("path", F.from_json("content", "struct<scripts:map<string,string>,engines:map<string,string>>").alias("j"))
-    more = [manifest.select("path", F.explode(f"j.{k}").alias("key", "value")).select(F.lit(c).alias("category"), "key", "value", "path") for k, c in (("scripts", "npm_script"), ("engines", "runtime"))]
-    pk = packages(files)
-    deps = pk.select(F.lit("dependency").alias("category"), F.col("name").alias("key"), F.col("version").alias("value"), "path")
+    rows = files.select(*k, "path", F.explode(F.array_compact(F.concat(marks, own))).alias("f")).select(*k, "f.*", "path")
+    env = files.where(F.startswith(base, F.lit(".env")) | F.endswith(base, F.lit(".env"))).select(*k, "path", F.explode(F.split("content", "\n", -1)).alias("line")).where("trim(line) != '' AND NOT startswith(trim(line), '#')")
+    env = env.select(*k, F.lit("env_variable").alias("category"), F.trim(F.regexp_extract("line", r"^\s*(?:export\s+)?([^=]*)", 1)).alias("key"), none.alias("value"), "path")
+    manifest = files.where(F.col("path").rlike(r"(^|/)package\.json$")).select(*k, "path", F.from_json("content", "struct<scripts:map<string,string>,engines:map<string,string>>").alias("j"))
+    more = [manifest.select(*k, "path", F.explode(f"j.{j}").alias("key", "value")).select(*k, F.lit(c).alias("category"), "key", "value", "path") for j, c in (("scripts", "npm_script"), ("engines", "runtime"))]
+    pk = packages(files, keep)
+    deps = pk.select(*k, F.lit("dependency").alias("category"), F.col("name").alias("key"), F.col("version").alias("value"), "path")
     named = F.array_compact(F.array(*[F.when((F.col("ecosystem") == e) & F.col("name").rlike(p), F.lit(n)) for e, p, n in FRAMEWORKS]))
-    fw = pk.select(F.lit("framework").alias("category"), F.explode(named).alias("key"), none.alias("value"), "path")
+    fw = pk.select(*k, F.lit("framework").alias("category"), F.explode(named).alias("key"), none.alias("value"), "path")
     return reduce(DataFrame.unionByName, [rows, env, *more, deps, fw]).distinct()
 
 

@@ -50,7 +50,7 @@ def closure(edges: DataFrame, start: DataFrame, *, max_depth: int | None = None)
     seen = written(start.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct(), "closure")
     frontier, depth = seen, 0
     levels = [seen]
-    links = edges.select(F.col("src"), F.col("dst")).distinct()
+    links = written(edges.select(F.col("src"), F.col("dst")).distinct(), "links")  # once, not at every level
     while max_depth is None or depth < max_depth:
         depth += 1
         visited = reduce(DataFrame.unionByName, levels)
@@ -65,11 +65,41 @@ def closure(edges: DataFrame, start: DataFrame, *, max_depth: int | None = None)
     return reduce(DataFrame.unionByName, levels)
 
 
+def dependencies(nodes: DataFrame, edges: DataFrame, component: str, *, direction: str = "both", transitive: bool = False) -> DataFrame:
+    """(id, name, type, relationship, direction, depth, via, error) of a component's neighbours, or of everything below and above it.
+
+    relationship is the type of the edge by which it is reached, via the node at that edge's other end. An unknown
+    component gives one row with error alone. Nodes that the graph knows by edges only have type 'unknown'.
+    """
+    if direction not in ("in", "out", "both"):
+        raise ValueError(f"unknown direction: {direction}")
+    start = edges.sparkSession.createDataFrame([(component,)], "id string")
+    parts = []
+    for way, e in (("out", edges.select("src", "dst", "type")), ("in", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))):
+        if direction in (way, "both"):
+            reached = closure(e, start, max_depth=None if transitive else 1).where("depth > 0")
+            kind = e.groupBy(F.col("src").alias("via"), F.col("dst").alias("id")).agg(F.min("type").alias("relationship"))
+            parts.append(reached.join(kind, ["via", "id"]).withColumn("direction", F.lit(way)))
+    known = nodes.groupBy("id").agg(F.min("type").alias("type"))
+    out = reduce(DataFrame.unionByName, parts).join(known, "id", "left")
+    name = F.regexp_extract("id", r"([^.]*)$", 1)
+    out = out.select("id", name.alias("name"), F.coalesce("type", F.lit("unknown")).alias("type"), "relationship", "direction", "depth", "via", F.lit(None).cast("string").alias("error"))
+    there = nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id")))
+    missing = start.join(there, "id", "left_anti").select(F.lit(f"Component {component} not found in the call graph").alias("error"))
+    return out.unionByName(missing, allowMissingColumns=True)
+
+
+def dependencies_of_kind(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """(id, dst, type): the edges from all nodes of a kind, in one join."""
+    return nodes.where(F.col("type") == kind).select("id").distinct().join(edges.select(F.col("src").alias("id"), "dst", "type"), "id")
+
+
 # --- architecture from graphs
-def mvc_role(name: Column) -> Column:
-    """The first of controller, model and view that a name has."""
-    low = F.lower(name)
-    return F.when(F.contains(low, F.lit("controller")), "controller").when(F.contains(low, F.lit("model")), "model").when(F.contains(low, F.lit("view")), "view")
+def mvc_role(name: Column, path: Column | None = None) -> Column:
+    """The first of controller, model and view that a name has, or its path as a plural."""
+    low, at = F.lower(name), F.lower(path) if path is not None else F.lit("")
+    has = lambda word: F.contains(low, F.lit(word)) | F.coalesce(F.contains(at, F.lit(word + "s")), F.lit(False))
+    return F.when(has("controller"), "controller").when(has("model"), "model").when(has("view"), "view")
 
 
 def implementations(edges: DataFrame, interfaces: DataFrame) -> DataFrame:
@@ -80,12 +110,17 @@ def implementations(edges: DataFrame, interfaces: DataFrame) -> DataFrame:
 
 
 def graph_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, confidence, components) of the patterns that names and edges show."""
+    """(name, confidence, components) of the patterns that names, paths (if nodes have them) and edges show."""
     low = F.lower("id")
-    has = lambda word: F.count_if(F.contains(low, F.lit(word)))
-    role = lambda r: F.count_if(mvc_role(F.col("id")) == r)
-    counts = nodes.agg(role("controller").alias("c"), role("model").alias("m"), role("view").alias("v"), has("repository").alias("repository"), has("service").alias("service"), has("factory").alias("factory"), F.count_if(F.col("type") == "interface").alias("interfaces"))
-    links = edges.agg(F.count_if(F.col("type") == "di_registration").alias("di"), F.count_if(F.col("type").isin("implements", "inherits")).alias("impl"))
+    has = lambda *words: F.count_if(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]))
+    path = F.col("path") if "path" in nodes.columns else None
+    role = lambda r: F.count_if(mvc_role(F.col("id"), path) == r)
+    counts = nodes.agg(
+        role("controller").alias("c"), role("model").alias("m"), role("view").alias("v"), has("repository").alias("repository"), has("service").alias("service"), has("factory").alias("factory"),
+        has("controller").alias("controllers"), has("repository", "dao").alias("stores"), has("model", "entity").alias("models"),
+        F.count_if(F.col("type") == "interface").alias("interfaces"), F.count_if((F.col("type") == "class") & F.contains(low, F.lit("impl"))).alias("impl"),
+    )
+    links = edges.agg(F.count_if(F.col("type") == "di_registration").alias("di"))
     most = implementations(edges, nodes.where("type = 'interface'")).where("n > 1").orderBy("id").limit(1).agg(F.max("n").alias("strategy"))
     one = counts.join(F.broadcast(links), how="cross").join(F.broadcast(most), how="cross")  # one row each
     tier = lambda c: F.when(F.col(c) > 2, "high").otherwise("medium")
@@ -96,9 +131,9 @@ def graph_patterns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hit(c("repository") > 0, "Repository Pattern", tier("repository"), c("repository")),
         hit(c("service") > 0, "Service Pattern", tier("service"), c("service")),
         hit(c("factory") > 0, "Factory Pattern", F.lit("medium"), c("factory")),
-        hit(c("di") > 0, "Dependency Injection", tier("di"), c("di")),
+        hit(c("di") > 0, "Dependency Injection", F.lit("high"), c("di")),
         hit(c("strategy") > 1, "Strategy Pattern", tier("strategy"), c("strategy")),
-        hit((c("c") > 0) & (c("service") > 0) & ((c("repository") > 0) | (c("m") > 0)), "Layered Architecture", F.lit("high"), c("c") + c("service")),
+        hit((c("controllers") > 0) & (c("service") > 0) & ((c("stores") > 0) | (c("models") > 0)), "Layered Architecture", F.lit("high"), c("controllers") + c("service")),
         hit((c("interfaces") > 5) & (c("impl") > 5), "Hexagonal/Clean Architecture", F.lit("medium"), c("interfaces")),
     ))
     return one.select(F.explode(found).alias("p")).select("p.*")

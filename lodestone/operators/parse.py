@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 
 ROW = "struct<kind:string,name:string,parent:string,access:string,modifier:string,type:string,bases:array<string>,params:array<struct<name:string,type:string>>,flags:array<string>,doc:string,first_line:int,last_line:int>"
 _FIELDS = ("kind", "name", "parent", "access", "modifier", "type", "bases", "params", "flags", "doc", "first_line", "last_line")
@@ -19,18 +20,39 @@ def row(kind: str, name: str | None, **more) -> dict:
     return out
 
 
-def _line(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+class Source:
+    """Lines and braces of a text, found in one pass. Strings and comments are not known."""
+
+    def __init__(self, text: str):
+        self.text, self.breaks = text, [m.start() for m in re.finditer("\n", text)]
+        self.at, self.depths, self.close, is_open, depth = [], [0], [], [], 0
+        for i, m in enumerate(re.finditer(r"[{}]", text)):
+            self.at.append(m.start())
+            self.close.append(len(text))
+            if m.group() == "{":
+                is_open.append(i)
+            elif is_open:
+                self.close[is_open.pop()] = m.end()
+            depth += 1 if m.group() == "{" else -1
+            self.depths.append(depth)
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def depth(self, at: int) -> int:
+        """Braces open before a place."""
+        return self.depths[bisect_left(self.at, at)]
+
+    def block_end(self, at: int) -> int:
+        """The place after the brace that closes the first one from at on; the text's end if none does, at itself if no block opens there."""
+        i = bisect_left(self.at, at)
+        if i == len(self.at):
+            return len(self.text)
+        return self.close[i] if self.text[self.at[i]] == "{" else at
 
 
 def block_end(text: str, at: int) -> int:
-    """The place after the brace that closes the first one from at on; the text's end if none does. Strings and comments are not known."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, at):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
+    return Source(text).block_end(at)
 
 
 def split_outside(text: str, sep: str = ",") -> list[str]:
@@ -59,8 +81,11 @@ _CS_FIELD = re.compile(rf"({_ACCESS})\s+((?:(?:static|readonly|const)\s+)*)([\w<
 _CS_DI = re.compile(r"\.Add(Scoped|Transient|Singleton)<\s*([\w.]+)\s*(?:,\s*([\w.]+)\s*)?>")
 _CS_PROJECT = re.compile(r'Project\("\{[^}]+\}"\)\s*=\s*"([^"]+)",\s*"([^"]+)",\s*"\{([^}]+)\}"')
 # Words that only look like names of methods or fields, fixed values.
-KEYWORDS = frozenset("if else for foreach while switch using lock catch return new throw nameof typeof sizeof await yield var function constructor do try with of in".split())
-PLACEHOLDERS = frozenset("i j k temp tmp value index".split())
+KEYWORDS = frozenset(
+    ["if", "else", "for", "foreach", "while", "switch", "using", "lock", "catch", "return", "new", "throw", "nameof", "typeof", "sizeof",
+     "await", "yield", "var", "function", "constructor", "do", "try", "with", "of", "in"]
+)
+PLACEHOLDERS = frozenset(["i", "j", "k", "temp", "tmp", "value", "index"])
 
 
 def _cs_params(text: str) -> list[tuple[str, str]]:
@@ -74,29 +99,41 @@ def _cs_params(text: str) -> list[tuple[str, str]]:
 
 def csharp(text: str) -> list[dict]:
     """namespace, using, class, interface, method, property, constructor_parameter and di_registration rows."""
+    src = Source(text)
     ns = m[1] if (m := _CS_NAMESPACE.search(text)) else None
     rows = [row("namespace", ns or "Unknown")]
-    rows += [row("using", m[1], first_line=_line(text, m.start())) for m in _CS_USING.finditer(text)]
+    rows += [row("using", m[1], first_line=src.line(m.start())) for m in _CS_USING.finditer(text)]
     spans = []
     for m in _CS_CLASS.finditer(text):
-        end = block_end(text, m.end())
+        end = src.block_end(m.end())
         spans.append((m.start(), end, m[3]))
-        rows.append(row("class", m[3], parent=ns, access=m[1] or "internal", modifier=m[2], bases=split_outside(m[4] or ""), first_line=_line(text, m.start()), last_line=_line(text, end - 1)))
+        rows.append(row("class", m[3], parent=ns, access=m[1] or "internal", modifier=m[2], bases=split_outside(m[4] or ""), first_line=src.line(m.start()), last_line=src.line(end - 1)))
     for m in _CS_INTERFACE.finditer(text):
-        rows.append(row("interface", m[2], parent=ns, access=m[1] or "internal", bases=split_outside(m[3] or ""), first_line=_line(text, m.start()), last_line=_line(text, block_end(text, m.end()) - 1)))
+        rows.append(row("interface", m[2], parent=ns, access=m[1] or "internal", bases=split_outside(m[3] or ""), first_line=src.line(m.start()), last_line=src.line(src.block_end(m.end()) - 1)))
+
+    around: list[int] = []  # for each class, the one that it stands in
+    for i, (_, end, _) in enumerate(spans):
+        j = i - 1
+        while j >= 0 and spans[j][1] < end:
+            j = around[j]
+        around.append(j)
+    begins = [x[0] for x in spans]
 
     def owner(at: int) -> str | None:
-        inside = [(a, name) for a, b, name in spans if a <= at < b]
-        return max(inside)[1] if inside else None
+        """The innermost class around a place."""
+        i = bisect_right(begins, at) - 1
+        while i >= 0 and spans[i][1] <= at:
+            i = around[i]
+        return spans[i][2] if i >= 0 else None
 
     for m in _CS_METHOD.finditer(text):
         if m[4].lower() in KEYWORDS or m[3].lower() in KEYWORDS - {"var"}:
             continue
         of = owner(m.start())
         built = m[4] == of
-        end = block_end(text, m.end() - 1) if text[m.end() - 1] == "{" else m.end()
+        end = src.block_end(m.end() - 1) if text[m.end() - 1] == "{" else m.end()
         kind, access = ("constructor", m[1] or (m[3] if re.fullmatch(_ACCESS, m[3]) else "private")) if built else ("method", m[1] or "private")
-        rows.append(row(kind, m[4], parent=of, access=access, modifier=m[2], type=None if built else m[3], params=_cs_params(m[5]), first_line=_line(text, m.start()), last_line=_line(text, end - 1)))
+        rows.append(row(kind, m[4], parent=of, access=access, modifier=m[2], type=None if built else m[3], params=_cs_params(m[5]), first_line=src.line(m.start()), last_line=src.line(end - 1)))
     for x in [r for r in rows if r["kind"] == "constructor" and r["access"] == "public"][:1]:
         rows += [row("constructor_parameter", p["name"], parent=x["parent"], type=p["type"]) for p in x["params"]]
     seen = set()
@@ -108,8 +145,8 @@ def csharp(text: str) -> list[dict]:
             seen.add((of, m[4]))
             words = (m[2] or "").split()
             flags = [] if flag is None else ["is_constant"] if "const" in words else ["is_readonly"] if {"static", "readonly"} <= set(words) else ["is_field"]
-            rows.append(row("property", m[4], parent=of, access=m[1], modifier=" ".join(words) or None, type=m[3], flags=flags, first_line=_line(text, m.start())))
-    rows += [row("di_registration", m[2], type=m[1], bases=[m[3] or m[2]], first_line=_line(text, m.start())) for m in _CS_DI.finditer(text)]
+            rows.append(row("property", m[4], parent=of, access=m[1], modifier=" ".join(words) or None, type=m[3], flags=flags, first_line=src.line(m.start())))
+    rows += [row("di_registration", m[2], type=m[1], bases=[m[3] or m[2]], first_line=src.line(m.start())) for m in _CS_DI.finditer(text)]
     return rows
 
 
@@ -143,44 +180,49 @@ def _ts_params(text: str) -> list[tuple[str, str]]:
 
 def typescript(text: str) -> list[dict]:
     """import, class, method, property and function rows; methods and properties come from the class's own body."""
-    rows = []
+    src, rows = Source(text), []
     for m in _TS_IMPORT.finditer(text):
-        rows.append(row("import", m[2], bases=[x.split(" as ")[0].strip() for x in split_outside(m[1])], first_line=_line(text, m.start())))
-    bodies = []
+        rows.append(row("import", m[2], bases=[x.split(" as ")[0].strip() for x in split_outside(m[1])], first_line=src.line(m.start())))
+    bodies, reached = [], 0
     for m in _TS_CLASS.finditer(text):
-        end = block_end(text, m.end() - 1)
+        end = src.block_end(m.end() - 1)
+        before = text[reached : m.start()]  # decorators come after the head of the class before
         bodies.append((m.start(), end))
-        before = text[: m.start()]
+        reached = m.end()
         near = before[max(before.rfind("}\n"), before.rfind(";\n"), 0) :] if not re.search(r"@\w+\([^@]*\)\s*$", before) else before[before.rfind("@") :]
         flags = [f for f, mark in _TS_DECORATORS.items() if mark in near]
         selector = s[1] if (s := re.search(r"selector\s*:\s*['\"]([^'\"]+)['\"]", near)) else None
-        rows.append(row("class", m[1], type=m[2], bases=split_outside(m[3] or ""), flags=flags, doc=selector, first_line=_line(text, m.start()), last_line=_line(text, end - 1)))
-        body = text[m.end() : end - 1]
-        depth_at = _depths(body)
+        rows.append(row("class", m[1], type=m[2], bases=split_outside(m[3] or ""), flags=flags, doc=selector, first_line=src.line(m.start()), last_line=src.line(end - 1)))
+        body, off = text[m.end() : end - 1], m.end()
+        inner = src.depth(off)
         for x in _TS_METHOD.finditer(body):
-            if x[3] in KEYWORDS - {"of", "in", "constructor"} or depth_at(x.start(3)):
+            if x[3] in KEYWORDS - {"of", "in", "constructor"} or src.depth(off + x.start(3)) != inner:
                 continue
-            rows.append(row("constructor" if x[3] == "constructor" else "method", x[3], parent=m[1], access=x[1] or "public", modifier=x[2], type=(x[5] or "any").strip(), params=_ts_params(x[4]), first_line=_line(text, m.end() + x.start(3)), last_line=_line(text, m.end() + block_end(body, x.end() - 1) - 1)))
+            rows.append(row("constructor" if x[3] == "constructor" else "method", x[3], parent=m[1], access=x[1] or "public", modifier=x[2], type=(x[5] or "any").strip(), params=_ts_params(x[4]), first_line=src.line(m.end() + x.start(3)), last_line=src.line(min(end - 1, src.block_end(off + x.end() - 1)) - 1)))
         for x in _TS_PROPERTY.finditer(body):
-            if x[3] in KEYWORDS or depth_at(x.start(3)):
+            if x[3] in KEYWORDS or src.depth(off + x.start(3)) != inner:
                 continue
             flags = [f for f, mark in (("is_input", "@Input"), ("is_output", "@Output")) if mark in x[1]]
-            rows.append(row("property", x[3], parent=m[1], access=x[2] or "public", type=(x[4] or "any").strip(), flags=flags, first_line=_line(text, m.end() + x.start(3))))
+            rows.append(row("property", x[3], parent=m[1], access=x[2] or "public", type=(x[4] or "any").strip(), flags=flags, first_line=src.line(m.end() + x.start(3))))
+    ends = []  # the furthest end of the classes up to each one
+    for _, end in bodies:
+        ends.append(max([end, *ends[-1:]]))
+
+    firsts = [b for b, _ in bodies]
+
+    def inside(at: int) -> bool:
+        i = bisect_right(firsts, at) - 1
+        return i >= 0 and at < ends[i]
+
     for pattern, (a, name, params, result) in ((_TS_FUNCTION, (1, 2, 3, 4)), (_TS_ARROW, (2, 1, 3, 4))):
         for m in pattern.finditer(text):
-            if not any(b <= m.start() < e for b, e in bodies) and m[name] not in KEYWORDS:
-                brace = text.find("{", m.end() - 1)
-                end = block_end(text, brace) if brace >= 0 and not text[m.end() : brace].strip() else m.end()
-                rows.append(row("function", m[name], modifier="async" if m[a] else None, type=(m[result] or "any").strip(), params=_ts_params(m[params]), first_line=_line(text, m.start()), last_line=_line(text, end - 1)))
+            if not inside(m.start()) and m[name] not in KEYWORDS:
+                brace = m.end() - 1 if text[m.end() - 1] == "{" else m.end() + re.match(r"\s*", text[m.end() : m.end() + 200]).end()
+                end = src.block_end(brace) if text[brace : brace + 1] == "{" else m.end()
+                rows.append(row("function", m[name], modifier="async" if m[a] else None, type=(m[result] or "any").strip(), params=_ts_params(m[params]), first_line=src.line(m.start()), last_line=src.line(end - 1)))
     return rows
 
 
-def _depths(body: str):
-    """A function from a place to the number of braces open there."""
-    marks = [(m.start(), 1 if m.group() == "{" else -1) for m in re.finditer(r"[{}]", body)]
-    return lambda at: sum(d for p, d in marks if p < at)
-
-
 # --- Python
 def _dotted(node: ast.AST) -> str:
     if isinstance(node, ast.Attribute):
@@ -225,8 +267,9 @@ _GENERIC_IMPORTS = [re.compile(p, re.M) for p in (r"^\s*import\s+([\w.]+)", r"^\
 
 
 def generic(text: str) -> list[dict]:
-    rows = [row("function", m[1], first_line=_line(text, m.start())) for m in _GENERIC_FUNCTION.finditer(text)]
-    rows += [row(m[1] if m[1] == "interface" else "class", m[2], type=m[1], first_line=_line(text, m.start())) for m in _GENERIC_TYPE.finditer(text)]
+    src = Source(text)
+    rows = [row("function", m[1], first_line=src.line(m.start())) for m in _GENERIC_FUNCTION.finditer(text)]
+    rows += [row(m[1] if m[1] == "interface" else "class", m[2], type=m[1], first_line=src.line(m.start())) for m in _GENERIC_TYPE.finditer(text)]
     return rows + [row("import", x) for x in sorted({m[1] for p in _GENERIC_IMPORTS for m in p.finditer(text)})]
 
 

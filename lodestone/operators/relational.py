@@ -89,11 +89,15 @@ def merge_attributes(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in df.columns if c not in (key, order)])
 
 
-def dependency_sets(edges: DataFrame, src: str = "src", dst: str = "dst", *, distinct: bool = True) -> DataFrame:
-    """(src, dependencies): sorted, without the node itself; distinct or with repeats."""
+def dependency_sets(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dependencies): sorted and distinct, without the node itself."""
     rows = edges.where(F.col(src) != F.col(dst))
-    gather = F.collect_set(dst) if distinct else F.collect_list(dst)
-    return rows.groupBy(src).agg(F.array_sort(gather).alias("dependencies"))
+    return rows.groupBy(src).agg(F.array_sort(F.collect_set(dst)).alias("dependencies"))
+
+
+def dependency_lists(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dst, n): each dependency with the number of its repeats, without the node itself; a list as a multiset, which no hot node can blow up."""
+    return edges.where(F.col(src) != F.col(dst)).groupBy(src, dst).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- joins
@@ -117,11 +121,38 @@ def add_missing(nodes: DataFrame, wanted: DataFrame, key: str = "id") -> DataFra
     return nodes.unionByName(new, allowMissingColumns=True)
 
 
+def by_precedence(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All rows of the first part, and of every further one those whose keys no part before it has; of a part's repeats the first by the other columns."""
+    every = reduce(DataFrame.unionByName, [p.withColumn("_rank", F.lit(i)) for i, p in enumerate(parts)])
+    rest = [c for c in every.columns if c not in keys and c != "_rank"]
+    first = F.min_by(F.struct(*rest), F.struct("_rank", *rest)).alias("_first")
+    return every.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
+def latest_checkpoint(df: DataFrame, name: str = "name") -> DataFrame:
+    """The row whose name (checkpoint_COUNT_...) has the largest count; by number, not by text, and the last by name among equals."""
+    count = F.regexp_extract(name, r"^checkpoint_(\d+)", 1)
+    return df.where(count != "").orderBy(F.desc(count.cast("long")), F.desc(name)).limit(1)
+
+
 def unprocessed(candidates: DataFrame, done: DataFrame, failed: DataFrame | None = None, key: str = "path") -> DataFrame:
     seen = done.select(key) if failed is None else done.select(key).union(failed.select(key))
     return candidates.join(seen.distinct(), key, "left_anti")
 
 
+def existing(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key other has."""
+    return df.join(other.select(key), key, "left_semi")
+
+
+def union_distinct(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
 def first_match(left: DataFrame, right: DataFrame, on: str, key: str, order: list[str]) -> DataFrame:
     """Each left row with the first right row of the same value; left rows without one stay."""
     first = right.groupBy(on).agg(F.min_by(F.struct(*[c for c in right.columns if c != on]), F.struct(*order)).alias("_first"))
@@ -134,15 +165,19 @@ def confidence_rank(column: str = "confidence") -> Column:
 
 
 def dedup_patterns(hits: DataFrame) -> DataFrame:
-    """(name, confidence, count, sources) of hits (name, confidence, source, seq).
+    """(name, confidence, count, first_seq) of hits (name, confidence, source, seq), map-side combined; pattern_sources() has the sources.
 
-    Confidence is high if any hit's is or there are more than two, else the first hit's. sources keeps repeats in order.
+    Confidence is high if any later hit's is or there are more than two, else the first hit's.
     """
     grouped = hits.groupBy("name").agg(
-        F.count(F.lit(1)).alias("count"), F.max(F.col("confidence") == "high").alias("_high"), F.min_by("confidence", "seq").alias("_first"),
-        F.min("seq").alias("first_seq"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]).alias("sources"),
+        F.count(F.lit(1)).alias("count"), F.max(F.col("confidence") == "high").alias("_high"), F.min_by("confidence", "seq").alias("_first"), F.min("seq").alias("first_seq"),
     )
-    return grouped.select("name", F.when(F.col("_high") | (F.col("count") > 2), "high").otherwise(F.col("_first")).alias("confidence"), "count", "sources", "first_seq")
+    return grouped.select("name", F.when(F.col("_high") | (F.col("count") > 2), "high").otherwise(F.col("_first")).alias("confidence"), "count", "first_seq")
+
+
+def pattern_sources(hits: DataFrame) -> DataFrame:
+    """(name, seq, source): a pattern's sources with repeats, one row each, so that no group has to fit in a task."""
+    return hits.select("name", "seq", "source")
 
 
 def sort_patterns(patterns: DataFrame) -> DataFrame:

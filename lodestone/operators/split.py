@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import parse
 from .chunk import LEAST, MOST, OVERLAP
 
@@ -28,32 +30,73 @@ def by_lines(text: str) -> list[dict]:
     return out
 
 
+_OPENS = re.compile(r"\s*\{")
+_TS_IMPORTS = re.compile(r"import\s+.+\s+from\s+(['\"])[^'\"\n]*\1;?")
+_TS_COMPONENT = re.compile(r"@Component\(\s*\{[^}]+\}\s*\)\s*export\s*class\s*(\w+)")
+
+
+def _large(kind: str, name: str, body: str, members: list[tuple[str, str]]) -> list[dict]:
+    """A class as one chunk, or its first MOST characters and its methods of more than LEAST."""
+    if len(body) <= MOST:
+        return [row(kind, name, body)]
+    return [row("class_declaration", name, body[:MOST])] + [row("method", f"{name}.{n}", x) for n, x in members if len(x) > LEAST]
+
+
+def csharp(text: str) -> list[dict]:
+    src, out = parse.Source(text), []
+    if (m := parse._CS_NAMESPACE.search(text)) and len(head := text[: m.start()].strip()) > LEAST:
+        out.append(row("file_header", None, head))
+    for m in parse._CS_CLASS.finditer(text):
+        if _OPENS.match(text, m.end()):
+            end = src.block_end(m.end())
+            found = [(x[4], text[x.start() : src.block_end(x.end() - 1) if text[x.end() - 1] == "{" else x.end()]) for x in parse._CS_METHOD.finditer(text, m.end(), end) if x[4].lower() not in parse.KEYWORDS and x[3].lower() not in parse.KEYWORDS] if end - m.start() > MOST else []
+            out += _large("class", m[3], text[m.start() : end], found)
+    for m in parse._CS_INTERFACE.finditer(text):
+        if _OPENS.match(text, m.end()):
+            out.append(row("interface", m[2], text[m.start() : src.block_end(m.end())]))
+    return out
+
+
+def typescript(text: str) -> list[dict]:
+    src, out, head = parse.Source(text), [], 0
+    for m in _TS_IMPORTS.finditer(text):
+        head = m.end()
+    if len(text[:head].strip()) > LEAST:
+        out.append(row("imports", None, text[:head].strip()))
+    for m in _TS_COMPONENT.finditer(text):
+        out.append(row("angular_component", m[1], text[m.start() : src.block_end(m.end())]))
+    for m in parse._TS_CLASS.finditer(text):
+        end = src.block_end(m.end() - 1)
+        found = [(x[3], text[x.start(3) : src.block_end(x.end() - 1)]) for x in parse._TS_METHOD.finditer(text, m.end(), end) if x[3] not in parse.KEYWORDS - {"constructor"}] if end - m.start() > MOST else []
+        out += _large("class", m[1], text[m.start() : end], found)
+    for m in parse._TS_FUNCTION.finditer(text):
+        if len(body := text[m.start() : src.block_end(m.end() - 1)]) > LEAST:
+            out.append(row("function", m[2], body))
+    return out
+
+
+def python(text: str) -> list[dict]:
+    """Top-level classes and functions up to their last line, and what comes before the first of them."""
+    found, lines, out = parse.python(text), text.split("\n"), []
+    part = lambda r: "\n".join(lines[r["first_line"] - 1 : r["last_line"]])
+    tops = [r for r in found if r["kind"] in ("class", "function")]
+    if tops and len(head := "\n".join(lines[: min(r["first_line"] for r in tops) - 1])) > LEAST:
+        out.append(row("module_header", None, head))
+    for r in tops:
+        if r["kind"] == "function":
+            out.append(row("function", r["name"], part(r)))
+        else:
+            out += _large("class", r["name"], part(r), [(x["name"], part(x)) for x in found if x["kind"] == "method" and x["parent"] == r["name"]] if len(part(r)) > MOST else [])
+    return out
+
+
+SPLITTERS = {parse.csharp: csharp, parse.typescript: typescript, parse.python: python}
+
+
 def split(language: str, text: str) -> list[dict]:
-    """file_header or module_header, class (or class_declaration and its methods if it is longer than MOST), interface, function."""
-    f = parse.PARSERS.get(language.lower())
-    if f is None:
-        return by_lines(text)
+    """Chunks by the language's structure: headers, components, classes (or their declarations and methods if they are longer than MOST), interfaces, functions; else ranges of lines."""
+    f = SPLITTERS.get(parse.PARSERS.get(language.lower()))
     try:
-        found = f(text)
+        return (f(text) if f else []) or by_lines(text)
     except (SyntaxError, ValueError, RecursionError):
         return by_lines(text)
-    lines, out = text.split("\n"), []
-    part = lambda r: "\n".join(lines[r["first_line"] - 1 : r["last_line"]])
-    tops = [r for r in found if r["kind"] in ("class", "interface", "function") and r["last_line"]]
-    if tops:
-        head = "\n".join(lines[: min(r["first_line"] for r in tops) - 1])
-        if len(head) > LEAST:
-            out.append(row("module_header" if f is parse.python else "file_header", None, head))
-    for r in tops:
-        body = part(r)
-        if r["kind"] == "class":
-            kind = "angular_component" if "is_component" in r["flags"] else "class"
-            if len(body) <= MOST:
-                out.append(row(kind, r["name"], body))
-            else:
-                out.append(row("class_declaration", r["name"], body[:MOST]))
-                inner = [x for x in found if x["kind"] in ("method", "constructor") and x["parent"] == r["name"] and x["last_line"]]
-                out += [row("method", f"{r['name']}.{x['name']}", part(x)) for x in inner if len(part(x)) > LEAST]
-        elif r["kind"] == "interface" or f is parse.python or len(body) > LEAST:
-            out.append(row(r["kind"], r["name"], body))
-    return out or by_lines(text)

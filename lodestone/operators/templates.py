@@ -14,9 +14,9 @@ def found(text: Column, *patterns: str) -> Column:
 
 def template_tokens(html: Column) -> dict[str, Column]:
     return {
-        "components": found(html, r"<([a-z]+-[a-z0-9-]+)"),
+        "components": found(html, r"<([a-z]+-[a-z0-9-]+)[^>]*>"),
         "directives": found(html, r"\*([A-Za-z]+)=", r"\[([A-Za-z]+)\]"),
-        "pipes": found(html, r"\|\s*([A-Za-z]+)"),
+        "pipes": found(html, r"\|\s*([A-Za-z0-9]+)"),
         "form_controls": found(html, r"formControlName=[\"']([^\"']+)[\"']"),
         "tags": found(html, r"<([a-z][a-z0-9]*)[\s>/]"),
         "links": found(html, r"href=[\"']([^\"']+)[\"']"),

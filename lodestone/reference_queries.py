@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import maths
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import chunk, graph, patterns, relational, search, templates
+from .operators import chunk, code_graph, graph, patterns, relational, rollup, search, store, templates
 from .registry import query, table
 from .storage import shared_folder
+from .sources import repo
 from .streaming import ingest
-from .operators import store
 
 
 # --- A. predicates and projections
@@ -60,12 +61,20 @@ def flt_component_lookup(spark, d):
     return relational.exact_else_partial(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "o", 5, ["p_partkey"])
 
 
-@query("""SELECT kind, name FROM (SELECT 1 AS r, 'region' AS kind, r_name AS name FROM region WHERE contains(lower(r_name), 'us')
-    UNION ALL SELECT 2, 'nation', n_name FROM nation WHERE contains(lower(n_name), 'us')
-    UNION ALL SELECT 3, 'supplier', s_name FROM supplier WHERE contains(lower(s_name), 'us')) ORDER BY r, name LIMIT 1""")
+_PRIORITY = " UNION ALL ".join(f"""SELECT '{text}' AS text, * FROM (SELECT kind, name FROM (SELECT 1 AS r, 'region' AS kind, r_name AS name FROM region WHERE contains(lower(r_name), '{text}')
+    UNION ALL SELECT 2, 'nation', n_name FROM nation WHERE contains(lower(n_name), '{text}')
+    UNION ALL SELECT 3, 'supplier', s_name FROM supplier WHERE contains(lower(s_name), '{text}')) ORDER BY r, name LIMIT 1)""" for text in ("a", "on", "pp", "zz"))
+
+
+@query(_PRIORITY)
 def flt_pattern_priority(spark, d):
-    parts = [table(spark, d, t).where(F.contains(F.lower(c), F.lit("us"))).select(F.lit(t).alias("kind"), F.col(c).alias("name")) for t, c in (("region", "r_name"), ("nation", "n_name"), ("supplier", "s_name"))]
-    return relational.first_by_priority(parts, ["name"])
+    """Four lookups: found in the first part, the second, the third, and nowhere."""
+    out = None
+    for text in ("a", "on", "pp", "zz"):
+        parts = [table(spark, d, t).where(F.contains(F.lower(c), F.lit(text))).select(F.lit(text).alias("text"), F.lit(t).alias("kind"), F.col(c).alias("name")) for t, c in (("region", "r_name"), ("nation", "n_name"), ("supplier", "s_name"))]
+        found = relational.first_by_priority(parts, ["name"])
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("""SELECT lang, doc_id, rank, more FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank,
@@ -127,17 +136,22 @@ def jn_related_entity(spark, d):
     return relational.related_entities(edges, "N:3", nodes.where("type = 'customer'"), nodes.where("type = 'supplier'"))
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal + 9000")
+@query("SELECT 'C' || c_custkey AS src, 'S' || s_suppkey AS dst FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 7 = s_suppkey % 7")
 def jn_same_ns_theta(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal") + 9000)).select("c_custkey", "s_suppkey")
+    """Customers as classes and suppliers as interfaces of a namespace, the nation; a class names one interface."""
+    rows = lambda t, p, key, nation, kind, bases: table(spark, d, t).select(F.concat(F.lit(p), key).alias("id"), F.concat(F.lit("I"), F.pmod(key, F.lit(7))).alias("name"), F.lit(kind).alias("kind"), bases.alias("bases"), F.col(nation).cast("string").alias("namespace"), F.lit("").alias("order"))
+    none = F.array().cast("array<string>")
+    classes = rows("customer", "C", "c_custkey", "c_nationkey", "class", F.array(F.concat(F.lit("x.I"), F.pmod("c_custkey", F.lit(7)), F.lit("<T>"))))
+    return code_graph.implementing(classes.unionByName(rows("supplier", "S", "s_suppkey", "s_nationkey", "interface", none))).drop("order")
 
 
-@query("""SELECT DISTINCT doc_id, u || '.' || b AS candidate FROM (SELECT doc_id, unnest(string_split(source, 'c')) AS u, lang FROM documents) CROSS JOIN (SELECT unnest(['x', 'y']) AS b)""")
+@query("""SELECT DISTINCT source || '.C' || doc_id AS src, u || '.' || b AS dst FROM (SELECT doc_id, source, unnest([source, 'a.' || lang, 'Sys']) AS u FROM documents) CROSS JOIN (SELECT unnest(['x', 'y']) AS b)""")
 def jn_cross_explode(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.split("source", "c", -1).alias("usings"), F.array(F.lit("x"), F.lit("y")).alias("bases"))
-    rows = rows.select("doc_id", "bases", F.explode("usings").alias("u")).select("doc_id", "u", F.explode("bases").alias("b"))
-    return rows.select("doc_id", F.concat_ws(".", "u", "b").alias("candidate")).distinct()
+    """Each document is a class of the namespace source with two bases, in a file with two usings."""
+    row = lambda kind, name, parent, *bases: F.struct(F.lit(kind).alias("kind"), name.alias("name"), parent.alias("parent"), F.array(*[F.lit(b) for b in bases]).cast("array<string>").alias("bases"))
+    rows = F.array(row("class", F.concat(F.lit("C"), "doc_id"), F.col("source"), "x", "y"), row("using", F.concat(F.lit("a."), "lang"), F.lit(None).cast("string")), row("using", F.lit("Sys"), F.lit(None).cast("string")))
+    entities = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.lit("csharp").alias("language"), F.explode(rows).alias("r")).select("path", "language", "r.*")
+    return code_graph.namespace_dependencies(entities)
 
 
 @query("""SELECT n_nationkey, n_name, s_suppkey FROM nation LEFT JOIN (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier) s
@@ -149,7 +163,7 @@ def jn_first_match(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
 def jn_semi_existing(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem").where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    return relational.existing(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT conv_id FROM conversations)")
@@ -178,10 +192,10 @@ def agg_type_counts(spark, d):
     return graph.type_counts(nodes, "node").unionByName(graph.type_counts(edges, "edge"))
 
 
-@query("SELECT source, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE source <> '' GROUP BY source")
+@query("SELECT source, count(*) AS n_files, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS paths FROM documents WHERE source <> '' GROUP BY source")
 def agg_group_paths(spark, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return table(spark, d, "documents").where("source <> ''").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), ids.alias("ids"))
+    rows = rollup.paths_by(table(spark, d, "documents"), "source", "doc_id")
+    return rows.withColumn("paths", F.array_join(F.transform("paths", lambda x: x.cast("string")), ","))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -201,47 +215,48 @@ def agg_dep_sets(spark, d):
     return relational.dependency_sets(edges).select(F.col("src").cast("long").alias("src"), F.array_join("dependencies", ",").alias("dependencies"))
 
 
-@query("SELECT l_suppkey AS src, count(*) AS n FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS n FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY l_suppkey, l_partkey")
 def agg_dep_lists(spark, d):
-    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return relational.dependency_sets(edges, distinct=False).select("src", F.size("dependencies").cast("long").alias("n"))
+    return relational.dependency_lists(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10")
 def agg_rel_hist_top10(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(10)
+    return rollup.histogram(table(spark, d, "events"), "event_type", 10)
 
 
 @query("""SELECT count(*) AS files, count(DISTINCT source) AS namespaces, count(*) FILTER (lang = 'en') AS english, count(*) FILTER (n_chars > 2000) AS large, bool_or(contains(text, 'password=')) AS has_secret FROM documents""")
 def agg_scan_summary(spark, d):
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("source").alias("namespaces"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 2000).alias("large"), F.bool_or(F.contains("text", F.lit("password="))).alias("has_secret"))
+    return rollup.scan_summary(table(spark, d, "documents"), "source", {"english": F.col("lang") == "en", "large": F.col("n_chars") > 2000}, {"has_secret": F.contains("text", F.lit("password="))})
 
 
-@query("""SELECT source, count(*) AS n_docs, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, round(count(quality)::DOUBLE / count(*), 6) AS labelled
-    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+@query("""SELECT source AS repo_id, count(DISTINCT doc_id) AS n_files, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, string_agg(DISTINCT 'q' || quality, ',' ORDER BY 'q' || quality) AS patterns,
+    string_agg(DISTINCT 't' || toxic, ',' ORDER BY 't' || toxic) AS environment FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id) GROUP BY source""")
 def agg_repo_rollup(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels"), "doc_id", "left").groupBy("source")
-    return rows.agg(F.count(F.lit(1)).alias("n_docs"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"), F.round(F.count("quality") / F.count(F.lit(1)), 6).alias("labelled"))
+    """Sources as repositories, labels as their patterns and facts."""
+    files = table(spark, d, "documents").select("doc_id", F.col("source").alias("repo_id"), F.col("lang").alias("language"))
+    marks = files.join(table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id")
+    out = rollup.repository_rollup(files, marks.select("repo_id", F.concat(F.lit("q"), "quality").alias("name")), marks.select("repo_id", F.concat(F.lit("t"), "toxic").alias("fact")))
+    return out.select("repo_id", "n_files", *[F.nullif(F.array_join(c, ","), F.lit("")).alias(c) for c in ("languages", "patterns", "environment")])
 
 
-@query("""SELECT segment, count(*) AS n FROM (SELECT page_id, unnest(string_split(url, '/')) AS segment FROM pages) WHERE segment <> '' GROUP BY segment HAVING count(*) > 2""")
+@query("""SELECT dir, count(*) AS n FROM (SELECT DISTINCT page_id % 3 AS tree, array_to_string(p[1:n], '/') AS dir FROM (SELECT page_id, p, unnest(range(1, len(p))) AS n FROM (SELECT page_id, string_split(url, '/') AS p FROM pages))) WHERE dir <> '' GROUP BY dir""")
 def agg_folder_keywords(spark, d):
-    parts = table(spark, d, "pages").select(F.explode(F.split("url", "/", -1)).alias("segment")).where("segment <> ''")
-    return parts.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    """The folders of three trees of URLs, and in how many of them each is."""
+    return rollup.histogram(patterns.folders(table(spark, d, "pages").withColumn("tree", F.col("page_id") % 3), "url", ["tree"]), "dir")
 
 
 # --- D. sets and order
 @query("SELECT l_suppkey AS id FROM lineitem WHERE l_discount = 0.1 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 UNION SELECT l_partkey FROM lineitem WHERE l_tax = 0")
 def set_union_distinct(spark, d):
     li = table(spark, d, "lineitem")
-    return li.where("l_discount = 0.1").select(F.col("l_suppkey").alias("id")).union(table(spark, d, "supplier").where("s_acctbal < 0").select("s_suppkey")).union(li.where("l_tax = 0").select("l_partkey")).distinct()
+    return relational.union_distinct([li.where("l_discount = 0.1").select(F.col("l_suppkey").alias("id")), table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("id")), li.where("l_tax = 0").select(F.col("l_partkey").alias("id"))])
 
 
 @query("""SELECT k, kind FROM (SELECT k, kind, row_number() OVER (PARTITION BY k ORDER BY p) AS r FROM (SELECT doc_id AS k, 'label' AS kind, 1 AS p FROM labels
     UNION ALL SELECT doc_id, 'document', 2 FROM documents UNION ALL SELECT page_id, 'page', 3 FROM pages)) WHERE r = 1""")
 def set_except_prec(spark, d):
-    parts = [table(spark, d, t).select(F.col(c).alias("k"), F.lit(kind).alias("kind"), F.lit(p).alias("p")) for p, (t, c, kind) in enumerate((("labels", "doc_id", "label"), ("documents", "doc_id", "document"), ("pages", "page_id", "page")))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("k").agg(F.min_by("kind", "p").alias("kind"))
+    return relational.by_precedence([table(spark, d, t).select(F.col(c).alias("k"), F.lit(kind).alias("kind")) for t, c, kind in (("labels", "doc_id", "label"), ("documents", "doc_id", "document"), ("pages", "page_id", "page"))], ["k"])
 
 
 @query("""SELECT name, confidence, n FROM (SELECT event_type AS name, CASE WHEN count(*) FILTER (value > 95) > 0 THEN 'high' WHEN count(*) % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM events GROUP BY event_type)
@@ -252,9 +267,9 @@ def top_conf_rank(spark, d):
     return rows.orderBy(relational.confidence_rank(), F.desc("n"), "name").limit(3)
 
 
-@query("SELECT max_by(o_orderkey, o_totalprice) AS latest, max(o_totalprice) AS price FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500)")
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500")
 def top_limit_ordered(spark, d):
-    return table(spark, d, "orders").orderBy("o_orderkey").limit(500).agg(F.max_by("o_orderkey", "o_totalprice").alias("latest"), F.max("o_totalprice").alias("price"))
+    return relational.first_n(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 500, ["o_orderkey"])
 
 
 # --- E. graph
@@ -305,12 +320,17 @@ def txt_search_topk(spark, d):
     return search.text_search(table(spark, d, "documents"), ["the", "thing", "AND"], where=F.col("lang") == "en", key="doc_id", text="text").select("doc_id", "score")
 
 
-@query("""SELECT page_id, 'tag' AS kind, unnest(list_distinct(regexp_extract_all(html, '<([a-z][a-z0-9]*)[\\s>/]', 1))) AS token FROM pages
-    UNION ALL SELECT page_id, 'link', unnest(list_distinct(regexp_extract_all(html, 'href=["'']([^"'']+)["'']', 1))) FROM pages
-    UNION ALL SELECT page_id, 'pipe', unnest(list_distinct(regexp_extract_all(html, '\\|\\s*([A-Za-z]+)', 1))) FROM pages""")
+_FRAGMENT = "<app-card-{i} *ngIf=\"a{i}\" [value]=\"b\"><input formControlName=\"c{i}\">{{x | date}}</app-card-{i}>"
+_KINDS = {"component": "<([a-z]+-[a-z0-9-]+)[^>]*>", "structural": "\\*([A-Za-z]+)=", "bracket": "\\[([A-Za-z]+)\\]", "pipe": "\\|\\s*([A-Za-z0-9]+)", "control": "formControlName=[\"'']([^\"'']+)[\"'']", "tag": "<([a-z][a-z0-9]*)[\\s>/]", "link": "href=[\"'']([^\"'']+)[\"'']"}
+_MARKED_HTML = "html || replace('" + _FRAGMENT + "', '{i}', page_id::VARCHAR)"
+
+
+@query("SELECT DISTINCT page_id, CASE WHEN kind IN ('structural', 'bracket') THEN 'directive' ELSE kind END AS kind, token FROM (" + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, unnest(regexp_extract_all({_MARKED_HTML}, '{pattern}', 1)) AS token FROM pages" for kind, pattern in _KINDS.items()) + ")")
 def tpl_tokens(spark, d):
-    tokens = templates.template_tokens(F.col("html"))
-    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), tokens[name].alias("tokens")) for kind, name in (("tag", "tags"), ("link", "links"), ("pipe", "pipes"))])
+    """Tokens of all pages, each with a template's fragment behind it."""
+    html = F.concat("html", F.replace(F.lit(_FRAGMENT), F.lit("{i}"), F.col("page_id").cast("string")))
+    tokens = templates.template_tokens(html)
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), tokens[name].alias("tokens")) for kind, name in (("component", "components"), ("directive", "directives"), ("pipe", "pipes"), ("control", "form_controls"), ("tag", "tags"), ("link", "links"))])
     rows = table(spark, d, "pages").select("page_id", F.explode(kinds).alias("k"))
     return rows.select("page_id", "k.kind", F.explode("k.tokens").alias("token"))
 
@@ -359,10 +379,10 @@ def vec_topk_dot(spark, d):
 
 @query(f"""SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, e.vec_id) AS rank
-    FROM (SELECT vec_id, {_V} AS v FROM embeddings WHERE vec_id < 8) q CROSS JOIN (SELECT vec_id, {_V} AS v FROM embeddings) e) WHERE rank <= 2""")
+    FROM (SELECT vec_id, {_V} AS v FROM embeddings WHERE vec_id % 100 = 0) q CROSS JOIN (SELECT vec_id, {_V} AS v FROM embeddings) e) WHERE rank <= 2""")
 def vec_multi_query(spark, d):
     v = _vectors(spark, d)
-    queries = v.where("id < 8").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     return search.similar_to_each(v, queries, 2).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -396,10 +416,15 @@ def rule_hits(spark, d):
     return _hits(spark, d).select("doc_id", "name", "confidence", "source", "seq")
 
 
-@query(f"""SELECT name, CASE WHEN bool_or(confidence = 'high') OR count(*) > 2 THEN 'high' ELSE min_by(confidence, seq) END AS confidence, count(*) AS count, string_agg(source, ',' ORDER BY seq) AS sources, min(seq) AS first_seq
+@query(f"""SELECT name, CASE WHEN bool_or(confidence = 'high') OR count(*) > 2 THEN 'high' ELSE min_by(confidence, seq) END AS confidence, count(*) AS count, min(seq) AS first_seq
     FROM ({_HITS}) GROUP BY name""")
 def rule_dedup(spark, d):
-    return relational.sort_patterns(relational.dedup_patterns(_hits(spark, d))).withColumn("sources", F.array_join("sources", ","))
+    return relational.sort_patterns(relational.dedup_patterns(_hits(spark, d)))
+
+
+@query(f"SELECT name, seq, source FROM ({_HITS})")
+def rule_sources(spark, d):
+    return relational.pattern_sources(_hits(spark, d))
 
 
 # --- H. incremental
@@ -409,17 +434,6 @@ def stm_available_now(spark, d):
     return target.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""SELECT id, name, price FROM (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey <= 1500
-    UNION ALL SELECT p_partkey, NULL, p_retailprice * 2 FROM part WHERE p_partkey > 1500 AND p_partkey % 5 = 0) WHERE id % 7 <> 0""")
-def snk_upsert(spark, d):
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
-    to = store.Table(spark, shared_folder(spark, "table"), ["id"])
-    to.upsert(part.where("id <= 1500"))
-    to.upsert(part.where("id % 5 = 0").select("id", (F.col("price") * 2).alias("price")))
-    to.delete(F.col("id") % 7 == 0)
-    return to.read()
-
-
 @query("""SELECT id, name, price FROM (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part
     UNION ALL SELECT -p_partkey, NULL, p_retailprice * 2 FROM part WHERE p_partkey % 5 = 0) WHERE id % 7 <> 0""")
 def snk_upsert_all(spark, d):
@@ -430,3 +444,69 @@ def snk_upsert_all(spark, d):
     to.upsert(more)
     to.delete(F.col("id") % 7 == 0)
     return to.read()
+
+
+@query("""SELECT l_orderkey AS repo_id, l_linenumber AS line, l_quantity AS quantity FROM lineitem WHERE l_linenumber <> 2 UNION ALL SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber = 2
+    UNION ALL SELECT o_orderkey, 0, o_totalprice FROM orders""")
+def snk_append(spark, d):
+    """Line items in two appends and orders in a third: no append reads or writes again what is there."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("repo_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))
+    to = store.Table(spark, shared_folder(spark, "table"), ["repo_id", "line"])
+    to.append(li.where("line != 2"))
+    to.append(li.where("line = 2"))
+    to.append(table(spark, d, "orders").select(F.col("o_orderkey").alias("repo_id"), F.lit(0).cast(li.schema["line"].dataType).alias("line"), F.col("o_totalprice").alias("quantity")))
+    return to.read()
+
+
+@query("SELECT vec_id AS id, label, CASE WHEN label = 3 THEN 'new' ELSE 'old' END AS state FROM embeddings WHERE label <> 5")
+def snk_replace(spark, d):
+    """Vectors as parts by label: one label's rows replaced, one's taken away."""
+    v = _vectors(spark, d).select("id", "label", F.lit("old").alias("state"))
+    to = store.Table(spark, shared_folder(spark, "table"), ["id"], by="label")
+    to.overwrite(v)
+    to.replace("3", v.where("label = 3").withColumn("state", F.lit("new")))
+    to.replace("5", v.where("label = 5").limit(0))
+    return to.read()
+
+
+@query("SELECT 0 AS n")
+def snk_clear(spark, d):
+    to = store.Table(spark, shared_folder(spark, "table"), ["id"])
+    to.overwrite(_vectors(spark, d).select("id"))
+    to.clear()
+    return to.read().agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+# --- I. files of other kinds, texts and numbers
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'csharp' WHEN 3 THEN NULL WHEN 4 THEN 'c' ELSE 'bash' END AS language, CASE WHEN p_partkey % 6 = 1 THEN 'service' ELSE 'unknown' END AS kind FROM part")
+def flt_language_kind(spark, d):
+    path = F.concat(F.lit("a.b/f"), "p_partkey", F.element_at(F.array(*[F.lit(x) for x in (".py", ".service.ts", ".CS", ".zip", ".h", ".sh")]), F.pmod("p_partkey", F.lit(6)).cast("int") + 1))
+    return table(spark, d, "part").select("p_partkey", tx.language_of(path).alias("language"), tx.file_kind(path).alias("kind"))
+
+
+@query("SELECT event_id, (event_id // 24) || 'd ' || (event_id % 24) || 'h ' || (event_id % 60) || 'm ' || (event_id % 59) || 's' AS up FROM events")
+def mth_uptime(spark, d):
+    e = F.col("event_id")
+    seconds = F.floor(e / 24) * 86400 + F.pmod(e, F.lit(24)) * 3600 + F.pmod(e, F.lit(60)) * 60 + F.pmod(e, F.lit(59))
+    return table(spark, d, "events").select("event_id", tx.uptime(seconds).alias("up"))
+
+
+@query("SELECT event_id, (event_id + 2) * 3 - event_id % 5 AS x, event_id ** 2 / 4 AS y FROM events")
+def mth_arithmetic(spark, d):
+    value = F.udf(lambda text: float(maths.evaluate(text)), "double")
+    t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else F.col("event_id") for p in parts])
+    return table(spark, d, "events").select("event_id", value(t("(", 0, " + 2) * 3 - ", 0, " % 5")).cast("long").alias("x"), value(t(0, " ** 2 / 4")).alias("y"))
+
+
+@query("SELECT doc_id, 'A b' || doc_id || '.' AS xml, 'Line ' || doc_id || chr(10) || chr(10) || 'end' AS js, ['a', 'b' || doc_id] AS parts FROM documents")
+def str_clean_docs(spark, d):
+    i = F.col("doc_id").cast("string")
+    xml = F.concat(F.lit("/// <summary>\n///  A   b"), i, F.lit(".\n/// </summary>"))
+    js = F.concat(F.lit("/**\n * Line "), i, F.lit("  \n *\n * end\n */"))
+    return table(spark, d, "documents").select("doc_id", tx.clean_xml_doc(xml).alias("xml"), tx.clean_jsdoc(js).alias("js"), tx.split_trim(F.concat(F.lit(" a ,, b"), i, F.lit(" , "))).alias("parts"))
+
+
+@query("SELECT doc_id, n_chars <= 1048576 AS small, text = '' OR text IS NULL AS nothing FROM documents WHERE lower(lang) IN ('en', 'fr')")
+def flt_size_extension(spark, d):
+    docs = table(spark, d, "documents").where(relational.payload_filter({"lang": ["en", "fr"]}))
+    return docs.select("doc_id", (F.col("n_chars") <= repo.MOST_BYTES).alias("small"), F.coalesce(F.col("text") == "", F.lit(True)).alias("nothing"))

@@ -6,6 +6,8 @@ tree is listed once on the driver (paths and sizes only) and read by the executo
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestone.functions.text import extension, language_of
-from lodestone.operators.relational import without_globs, without_substrings
+from lodestone.functions.text import extension, glob_regex, language_of
 
 MOST_BYTES = 1 << 20
 # Extensions of the plain code walk, fixed values.
@@ -38,11 +39,28 @@ class _Reader(DataSourceReader):
         most = options.get("mostBytes", str(MOST_BYTES)).lower()
         self.most = None if most == "none" else int(most)
         self.extensions = tuple(x for x in options.get("extensions", "").split(",") if x)
+        self.parts = json.loads(options.get("excludeparts", "[]"))
+        self.only = options.get("onlyextensions", "false").lower() == "true"
+        self.deep = [re.compile(glob_regex(g)) for g in json.loads(options.get("excludeglobs", "[]")) if g.endswith("/**")]
+        self.globs = [re.compile(glob_regex(g)) for g in json.loads(options.get("excludeglobs", "[]"))]
+
+    def _left_out(self, path: str) -> bool:
+        return any(p in path for p in self.parts) or any(g.search(path) for g in self.globs)
 
     def partitions(self) -> list[_Files]:
+        """One listing a folder; what is left out isn't entered, and files that can't count aren't handed on."""
         fs, root = pa.fs.FileSystem.from_uri(self.root)
-        infos = fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
-        files = sorted((x.path[len(root) :].lstrip("/"), x.size) for x in infos if x.is_file)
+        files, todo = [], [root]
+        while todo:
+            for x in fs.get_file_info(pa.fs.FileSelector(todo.pop())):
+                path = x.path[len(root) :].lstrip("/")
+                if x.is_file:
+                    if not self._left_out(path) and (not self.only or path.lower().endswith(self.extensions)):
+                        files.append((path, x.size))
+                # a folder is passed by if all that can be in it is left out: a part of its path, or a glob that goes on with anything
+                elif not any(p in path for p in self.parts) and not any(g.search(f"{path}/") for g in self.deep):
+                    todo.append(x.path)
+        files.sort()
         return [_Files(files[i : i + self.group]) for i in range(0, len(files), self.group)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
@@ -65,7 +83,8 @@ class RepoSource(DataSource):
     """spark.read.format("repo").load(root): path (relative), name, size, content, error.
 
     Options: mostBytes (a larger file has error in place of content; "none": no limit), extensions (comma-joined; other
-    files have no content), content, filesPerPartition.
+    files have no content, or no row with onlyExtensions), excludeParts and excludeGlobs (JSON lists: parts of relative paths, globs on
+    them; folders that they cover aren't listed), content, filesPerPartition.
     """
 
     @classmethod
@@ -82,13 +101,12 @@ class RepoSource(DataSource):
 def read_repo(spark: SparkSession, root: str, *, exclude: list[str] | None = None, substring: bool = False, extensions: list[str] | None = None, most_bytes: int | None = MOST_BYTES, files_per_partition: int = 500) -> DataFrame:
     """Files of a tree with their language. exclude are globs on the relative path, or plain parts of it with substring.
 
-    A file that isn't UTF-8 keeps its row, with error in place of content.
+    What is left out isn't listed or read. A file that isn't UTF-8 keeps its row, with error in place of content.
     """
     spark.dataSource.register(RepoSource)
     source = spark.read.format("repo").option("filesPerPartition", files_per_partition).option("mostBytes", "none" if most_bytes is None else most_bytes)
-    df = source.option("extensions", ",".join(extensions or [])).load(root if "://" in root else f"file://{root}")
-    if exclude:
-        df = df.where((without_substrings if substring else without_globs)(F.col("path"), exclude))
+    source = source.option("excludeParts" if substring else "excludeGlobs", json.dumps(exclude or []))
+    df = source.option("extensions", ",".join(extensions or [])).option("onlyExtensions", bool(extensions)).load(root if "://" in root else f"file://{root}")
     if extensions:
         df = df.where(extension(F.col("path")).isin(extensions))
     if most_bytes is not None:

@@ -58,7 +58,7 @@ def test_documentation():
     rows = comments.csharp(q.CSHARP)
     get = next(r for r in rows if r["kind"] == "method")
     assert (get["name"], get["text"], get["returns"], get["params"]) == ("Get", "Finds one.", "The user.", [{"name": "id", "text": "Its id."}])
-    assert [r["text"] for r in rows if r["kind"] == "todo"] == ["TODO cache"]
+    assert [r["text"] for r in rows if r["kind"] == "todo"] == ["cache"]
     ts = comments.typescript(q.TYPESCRIPT)
     add = next(r for r in ts if r["name"] == "add")
     assert (add["text"], add["returns"], add["params"]) == ("Adds.", "the sum", [{"name": "a", "text": "the first"}]) and ts[0]["text"] == "Shows users."
