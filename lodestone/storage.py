@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/lodestone-work"
+    """A new folder's path below spark.checkpoint.dir. Where that is unset, a local folder serves a local session; a cluster has none."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base:
+        if not (conf.get("spark.master") or "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "/tmp/lodestone-work"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back: short lineage that survives lost executors."""
-    path = shared_folder(df.sparkSession, what)
+def written(df: DataFrame, what: str, within: str | None = None) -> DataFrame:
+    """df written to the shared folder, or below the folder within, and read back: short lineage that survives lost executors."""
+    path = f"{within}/{what}-{uuid.uuid4().hex}" if within else shared_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of tables that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
