@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.storage import remove
 from lodestone.storage import shared_folder as shared_dir
 from lodestone.storage import written as materialise
 
-__all__ = ["Texts", "doc_texts", "free_name", "lower_ascii", "materialise", "maybe_broadcast", "mix64", "row_pieces", "shared_dir", "shingle_hashes", "sorted_sets", "trimmed"]
+__all__ = ["Texts", "doc_texts", "free_name", "lower_ascii", "materialise", "maybe_broadcast", "mix64", "remove", "row_pieces", "shared_dir", "shingle_hashes", "sorted_sets", "trimmed"]
 
 #: Bytes of text that are worked on at a time.
 PIECE_BYTES = 1 << 20
