@@ -351,7 +351,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, similar
         labels = connected_components(links.unionByName(rest), scratch)
     labels = classes.join(labels, "node", "left").select(*same, "rep", F.coalesce("component", "node").alias("component"))
     least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
-    member = full.drop("bands").join(labels.drop("rep"), same).join(least, "component").select("doc_id", "print", "n_shingles", "component", "component_id")
+    member = full.drop("bands").join(labels.drop("rep").join(least, "component"), same).select("doc_id", "print", "n_shingles", "component", "component_id")
     none = sets.where("n_shingles = 0").select("doc_id", "print", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = materialise(member.unionByName(none), "components")
     remove(spark, scratch)

@@ -1,8 +1,8 @@
 """Token ids as fixed-stride binary shards in training order.
 
-1. One pass tokenises every text, cuts it into sequences of LENGTH ids, and stores blocks of compressed
-   sequences with their task's number and their place in the task: the catalogue, written once. Adding up the
-   tasks' counts numbers the sequences from 0 to N - 1.
+1. One pass tokenises every text; a task's texts, each with END_OF_TEXT behind it, are one stream that is cut into sequences of LENGTH ids, so
+   only a task's last sequence is padded. Blocks of compressed sequences with their task's number and their place in the task are
+   the catalogue, written once. Adding up the tasks' counts numbers the sequences from 0 to N - 1.
 2. A keyed Feistel network over the least a x a >= N, walked along its cycle until it is below N, is a bijection of
    [0, N): it gives every sequence its slot in training order, without a sort and without a table.
 3. Slot // SHARD is a sequence's shard. What a task has for one shard travels as one compressed row, and each
@@ -11,8 +11,8 @@
    and renamed, so a task that runs again does no harm. What an earlier run left below the same path is replaced or removed; the
    manifest goes first and comes back last, so a folder with a manifest is whole.
 
-Record: LENGTH ids (uint16, little-endian), filled up with END_OF_TEXT; a document's last sequence ends with END_OF_TEXT. The order
-table has each slot's document, part and number of ids, so shards are nothing but ids and can be mapped into memory.
+Record: LENGTH ids (uint16, little-endian). The order table has a row for each piece of a document in a slot: its offset in the record, its
+document, part and number of ids; what no piece covers is padding (END_OF_TEXT). So shards are nothing but ids and can be mapped into memory.
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, shared_dir, trimmed
+from .common import materialise, mix64, remove, shared_dir, trimmed
 from .tokenizer import END_OF_TEXT, VOCABULARY, encoder
 
 LENGTH, SHARD, KEY, ROUNDS = 256, 16384, 0x5DEECE66D, 6
 STRIDE = 2 * LENGTH
-#: Sequences of a block of the catalogue, and bytes of ids that a task holds before it hands them on.
-BLOCK, BUFFER = 2048, 32 << 20
+#: Sequences of a block of the catalogue, bytes of ids that a task holds before it hands them on, and the strength of compression.
+BLOCK, BUFFER, LEVEL = 2048, 32 << 20, 6
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -55,70 +55,89 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_CATALOGUE = "task int, place long, records int, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
-_PART = "shard int, slots array<int>, doc_ids array<long>, parts array<int>, counts array<int>, ids binary"
+_PIECES = "doc_ids array<long>, parts array<int>, starts array<int>, lengths array<int>"
+_CATALOGUE = f"task int, place long, records int, {_PIECES}, ids binary"
+_PART = f"shard int, slots array<int>, {_PIECES}, ids binary"
+_KINDS = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+_NAMES = ["doc_ids", "parts", "starts", "lengths"]
 
 
-def _tokenise(vocabulary: str, length: int):
+def _tokenise(vocabulary: str, length: int, records: int):
+    """Blocks of a task's stream of ids: pieces of documents by their start and length in the block; parts counts a document's records so far."""
     end = np.uint16(END_OF_TEXT).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, place, pack = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=9).compress
-        docs, parts, counts, ids = [], [], [], []
+        encode, task, place, pack = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=LEVEL).compress
+        most, ids, size, pieces = 2 * length * records, [], 0, ([], [], [], [])
 
-        def block() -> pa.RecordBatch:
-            columns = [pa.array([task], pa.int32()), pa.array([place]), pa.array([len(docs)], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([parts], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32())), pa.array([pack(b"".join(ids))], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["task", "place", "records", "doc_ids", "parts", "counts", "ids"])
+        def block(data: bytes) -> pa.RecordBatch:
+            columns = [pa.array([task], pa.int32()), pa.array([place]), pa.array([len(data) // (2 * length)], pa.int32()), *(pa.array([x], k) for x, k in zip(pieces, _KINDS, strict=True)), pa.array([pack(data)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["task", "place", "records", *_NAMES, "ids"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for doc, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                    data = encode(text or "") + end
-                    n = len(data) // 2
-                    k = -(-n // length)
-                    docs += [doc] * k
-                    parts += range(k)
-                    counts += [length] * (k - 1) + [n - length * (k - 1)]
-                    ids.append(data)
-                    if len(docs) >= BLOCK:
-                        yield block()
-                        place += len(docs)
-                        docs, parts, counts, ids = [], [], [], []
-        if docs:
-            yield block()
+                    data, part = encode(text or "") + end, 0
+                    while data:
+                        room = most - size
+                        taken, data = data[:room], data[room:]
+                        for x, v in zip(pieces, (doc, part, size // 2, len(taken) // 2), strict=True):
+                            x.append(v)
+                        first = size // 2 // length
+                        ids.append(taken)
+                        size += len(taken)
+                        part += (size // 2 - 1) // length - first + 1
+                        if size == most:
+                            yield block(b"".join(ids))
+                            place += records
+                            ids, size, pieces = [], 0, ([], [], [], [])
+        if size:
+            yield block(b"".join([*ids, end * (-(size // 2) % length)]))
 
     return run
 
 
-def _unpack(row: dict) -> list[bytes]:
-    """The sequences' ids of a block or part."""
-    data, at, out = zstandard.ZstdDecompressor().decompress(row["ids"]), 0, []
-    for n in row["counts"]:
-        out.append(data[at : at + 2 * n])
-        at += 2 * n
-    return out
+def _segments(doc_ids, parts, starts, lengths, length: int) -> tuple[np.ndarray, ...]:
+    """(record, offset, index into doc_ids, part, count) of a block's pieces, cut where records end."""
+    starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
+    n = (starts + lengths - 1) // length - starts // length + 1
+    of = np.repeat(np.arange(len(starts)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    record = starts[of] // length + k
+    first = np.maximum(starts[of], record * length)
+    last = np.minimum(starts[of] + lengths[of], (record + 1) * length)
+    return record, first - record * length, of, np.asarray(parts, np.int64)[of] + k, last - first
 
 
-def _deal(first: np.ndarray, total: int, shard_size: int, key: int):
-    """From blocks to one row for each shard, for at most BUFFER bytes of ids at a time."""
+def _deal(first: np.ndarray, total: int, length: int, shard_size: int, key: int):
+    """From blocks to one row for each shard, for at most BUFFER bytes of ids at a time; starts are now slot * length + offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, held, size = zstandard.ZstdCompressor(level=6).compress, {}, 0
+        pack, unpack, held, size = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress, {}, 0
 
         def flush() -> pa.RecordBatch:
             shards = sorted(held)
-            lists = [[[x[i] for x in held[s]] for s in shards] for i in range(4)]
-            ids = [pack(b"".join(x[4] for x in held[s])) for s in shards]
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True)), pa.array(ids, pa.binary())], ["shard", "slots", "doc_ids", "parts", "counts", "ids"])
+            join = lambda i: [np.concatenate([x[i] for x in held[s]]) for s in shards]
+            slots = [np.concatenate([x[0] for x in held[s]]) for s in shards]
+            lists = [[sum((x[1] for x in held[s]), []) for s in shards], *(join(i) for i in (2, 3, 4))]
+            ids = [pack(b"".join(x[5] for x in held[s])) for s in shards]
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(slots, pa.list_(pa.int32())), *(pa.array(x, k) for x, k in zip(lists, _KINDS, strict=True)), pa.array(ids, pa.binary())], ["shard", "slots", *_NAMES, "ids"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                slots = permute(first[row["task"]] + row["place"] + np.arange(row["records"]), total, key).tolist()
-                for slot, *rest in zip(slots, row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
-                    held.setdefault(slot // shard_size, []).append((slot % shard_size, *rest))
-                size += 2 * sum(row["counts"])
+                image = np.frombuffer(unpack(row["ids"]), np.uint16).reshape(-1, length)
+                slots = permute(first[row["task"]] + row["place"] + np.arange(row["records"]), total, key)
+                record, offset, of, part, count = _segments(row["doc_ids"], row["parts"], row["starts"], row["lengths"], length)
+                docs = row["doc_ids"]
+                order, shard = np.argsort(slots // shard_size, kind="stable"), slots // shard_size
+                by, at = np.argsort(shard[record], kind="stable"), slots % shard_size
+                cut = np.unique(shard)
+                rows, segs = np.searchsorted(shard[order], cut), np.searchsorted(shard[record][by], cut)
+                for s, a, b, c, d in zip(cut.tolist(), rows, [*rows[1:], None], segs, [*segs[1:], None], strict=True):
+                    mine, seg = order[a:b], by[c:d]
+                    held.setdefault(s, []).append((at[mine], [docs[j] for j in of[seg]], part[seg], at[record[seg]] * length + offset[seg], count[seg], image[mine].tobytes()))
+                size += image.nbytes
                 if size > BUFFER:
                     yield flush()
                     held, size = {}, 0
@@ -132,23 +151,23 @@ def _write(path: str, total: int, length: int, shard_size: int):
     """Of all parts of a shard: writes its file, and gives the order table back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, image, docs = None, None, None
+        shard, image, found, unpack = None, None, [], zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if shard is None:
                     shard = row["shard"]
-                    n = min(total, (shard + 1) * shard_size) - shard * shard_size
-                    image = np.full((n, length), END_OF_TEXT, np.uint16)
-                    docs, parts, counts = [None] * n, np.zeros(n, np.int32), np.zeros(n, np.int32)
+                    image = np.full((min(total, (shard + 1) * shard_size) - shard * shard_size, length), END_OF_TEXT, np.uint16)
                 assert shard == row["shard"], "a partition holds one shard"
-                for k, doc, part, count, ids in zip(row["slots"], row["doc_ids"], row["parts"], row["counts"], _unpack(row), strict=True):
-                    docs[k], parts[k], counts[k] = doc, part, count
-                    image[k, :count] = np.frombuffer(ids, np.uint16)
+                image[row["slots"]] = np.frombuffer(unpack(row["ids"]), np.uint16).reshape(-1, length)
+                found.append(pa.table([pa.array(row[c], k.value_type) for c, k in zip(_NAMES, _KINDS, strict=True)], _NAMES))
         if shard is not None:
             _store(path, shard, image.tobytes())
-            slots = np.arange(len(docs)) + shard * shard_size
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(docs), shard, np.int64)), pa.array(docs, pa.int64()), pa.array(parts), pa.array(counts)], ["slot", "shard", "doc_id", "part", "n_tokens"])
+            found = pa.concat_tables(found).sort_by("starts").combine_chunks()
+            slot, offset = np.divmod(np.asarray(found["starts"], np.int64), length)
+            columns = [pa.array(slot + shard * shard_size), pa.array(offset.astype(np.int32)), pa.array(np.full(len(slot), shard, np.int64)), *(found[c].combine_chunks() for c in ("doc_ids", "parts", "lengths"))]
+            for batch in pa.table(columns, ["slot", "offset", "shard", "doc_id", "part", "n_tokens"]).to_batches(max_chunksize=50_000):
+                yield batch
 
     return run
 
@@ -175,26 +194,31 @@ def _clear(path: str, shards: int) -> None:
 
 
 def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, length: int = LENGTH, shard_size: int = SHARD, key: int = KEY) -> DataFrame:
-    """Writes shards and manifest.json below path and returns the order table: slot, shard, doc_id, part, n_tokens.
+    """Writes shards and manifest below path and returns the order table: slot, offset, shard, doc_id, part, n_tokens.
 
-    Every text gives at least one sequence; null and empty texts give END_OF_TEXT alone. Repeated rows are written as often
-    as they come; a null id stays null in the order table. An empty table gives a manifest without shards. Other columns are ignored.
+    path is a folder that all executors reach; without a scheme it is one of the default file system. Every text gives at least one
+    piece; null and empty texts give END_OF_TEXT alone. Repeated rows are written as often as they come; a null id stays null in the order table, ids must be
+    integers or read as such. An empty table gives a manifest without shards. Other columns are ignored.
     """
     spark = docs.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    catalogue = materialise(rows.mapInArrow(trimmed(_tokenise(vocabulary, length)), _CATALOGUE), "catalogue")
+    catalogue = materialise(rows.mapInArrow(trimmed(_tokenise(vocabulary, length, BLOCK)), _CATALOGUE), "catalogue", scratch := shared_dir(spark, "token-output"))
     counts = sorted((r.task, r.n) for r in catalogue.groupBy("task").agg(F.sum("records").alias("n")).collect())  # one row a task
     total = sum(n for _, n in counts)
     first = np.zeros(counts[-1][0] + 1 if counts else 1, np.int64)
     for (task, _), start in zip(counts, np.cumsum([0, *[n for _, n in counts]]), strict=False):
         first[task] = start
     spec = {"records": total, "record_bytes": 2 * length, "ids_per_record": length, "records_per_shard": shard_size, "key": key, "end_of_text": END_OF_TEXT}
-    _clear(path, -(-total // shard_size))
     shards = max(1, -(-total // shard_size))
-    dealt = catalogue.mapInArrow(trimmed(_deal(first, total, shard_size, key)), _PART).repartitionById(shards, "shard")
-    order = dealt.mapInArrow(trimmed(_write(path, total, length, shard_size)), "slot long, shard long, doc_id long, part int, n_tokens int")
+    _clear(path, -(-total // shard_size))
+    dealt = catalogue.mapInArrow(trimmed(_deal(first, total, length, shard_size, key)), _PART).repartitionById(shards, "shard")
+    order = dealt.mapInArrow(trimmed(_write(path, total, length, shard_size)), "slot long, offset int, shard long, doc_id long, part int, n_tokens int")
     order = materialise(order, "order")
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    remove(spark, scratch)
     return order
 
 

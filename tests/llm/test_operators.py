@@ -197,25 +197,33 @@ def test_encoder(plain, spark, sf_dir):
     assert all(array("H", plain(t)).tobytes() == encode(t) for t in texts)
 
 
-def test_shards(spark, plain, sf_dir, tmp_path):
-    docs = table(spark, "documents", sf_dir)
-    order = token_output.write_shards(docs, f"file://{tmp_path}", shard_size=100, length=64).collect()
-    assert sorted(r.slot for r in order) == list(range(len(order)))
-    files, seen, at = sorted(Path(tmp_path).glob("shard-*.bin")), {}, {r.slot: r for r in order}
-    slot = 0
-    for f in files:
-        data = f.read_bytes()
-        assert len(data) % 128 == 0
-        for ids in token_output.read_shard(data, 64):
-            n = at[slot].n_tokens
-            assert at[slot].shard == int(f.stem[6:]) and set(ids[n:]) <= {tokenizer.END_OF_TEXT}
-            seen[at[slot].doc_id, at[slot].part] = ids[:n].tolist()
-            slot += 1
-        assert (token_output.read_shard(data, 64, 3) == token_output.read_shard(data, 64)[3:]).all()
-    assert slot == len(order) and len(files) == math.ceil(slot / 100)
-    for r in docs.collect():
-        ids = sum((seen[k] for k in sorted(k for k in seen if k[0] == r.doc_id)), [])
-        assert ids == [*plain(r.text), tokenizer.END_OF_TEXT]
+def _texts_of(order, folder, length):
+    """{(doc_id): ids} and the padding, read from shards by the order table."""
+    files = sorted(Path(folder).glob("shard-*.bin"))
+    image = np.concatenate([token_output.read_shard(f.read_bytes(), length) for f in files])
+    covered, texts = np.zeros(image.shape, bool), {}
+    for r in sorted(order, key=lambda r: (str(r.doc_id), r.part)):
+        assert not covered[r.slot, r.offset : r.offset + r.n_tokens].any()
+        covered[r.slot, r.offset : r.offset + r.n_tokens] = True
+        texts.setdefault(r.doc_id, []).extend(image[r.slot, r.offset : r.offset + r.n_tokens].tolist())
+    return texts, image[~covered], len(image), files
+
+
+@pytest.mark.parametrize(("length", "block"), [(64, 2048), (16, 3)])
+def test_shards(spark, plain, sf_dir, tmp_path, monkeypatch, length, block):
+    monkeypatch.setattr(token_output, "BLOCK", block)
+    docs = table(spark, "documents", sf_dir).repartition(3)
+    order = token_output.write_shards(docs, str(tmp_path), shard_size=100, length=length).collect()  # no scheme
+    texts, padding, n, files = _texts_of(order, tmp_path, length)
+    assert {r.slot for r in order} == set(range(n)) and len(files) == math.ceil(n / 100) and all(r.shard == r.slot // 100 for r in order)
+    assert set(padding) <= {tokenizer.END_OF_TEXT} and len(padding) < 3 * length
+    parts = {}
+    for r in order:
+        parts.setdefault(r.doc_id, []).append(r.part)
+    assert all(sorted(p) == list(range(len(p))) for p in parts.values())
+    assert texts == {r.doc_id: [*plain(r.text), tokenizer.END_OF_TEXT] for r in docs.collect()}
+    data = files[0].read_bytes()
+    assert (token_output.read_shard(data, length, 3) == token_output.read_shard(data, length)[3:]).all()
 
 
 def test_shards_again_in_the_same_folder(spark, sf_dir, tmp_path):
