@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestone.storage import create_once, names_in, read_text
+
 
 class Conflict(RuntimeError):
     """Another writer has made the same version."""
@@ -31,41 +33,19 @@ class Table:
 
     # --- versions
     def versions(self) -> list[int]:
-        at = self._at(f"{self.path}/versions")
-        if not self._fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:]) for n in names_in(self.spark, f"{self.path}/versions", ".json"))
 
     def _load(self, version: int | None = None) -> dict:
         have = self.versions()
         if not have and version is None:
             return {"version": 0, "schema": None, "parts": []}
         version = have[-1] if version is None else version
-        file = self._fs.open(self._at(f"{self.path}/versions/v{version}.json"))
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
-        finally:
-            file.close()
-        return json.loads(text) | {"version": version}
+        return json.loads(read_text(self.spark, f"{self.path}/versions/v{version}.json")) | {"version": version}
 
     def _commit(self, before: dict, schema: StructType, parts: list[list[str]]) -> None:
-        """Writes the next version's file beside its place and renames it, which fails where the place is taken."""
         version = before["version"] + 1
-        beside, place = (self._at(f"{self.path}/versions/{n}") for n in (f".{uuid.uuid4().hex}", f"v{version}.json"))
-        self._fs.mkdirs(place.getParent())
-        out = self._fs.create(beside, True)
-        out.write(bytearray(json.dumps({"schema": schema.json(), "parts": parts}).encode()))
-        out.close()
-        fs = self._jvm.org.apache.hadoop.fs
-        context = fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            context.rename(self._fs.makeQualified(beside), self._fs.makeQualified(place), self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 0))
-        except Exception as e:
-            self._fs.delete(beside, False)
-            if "exist" in str(e).lower():
-                raise Conflict(f"version {version} of {self.path}") from e
-            raise
+        if not create_once(self.spark, f"{self.path}/versions/v{version}.json", json.dumps({"schema": schema.json(), "parts": parts})):
+            raise Conflict(f"version {version} of {self.path}")
 
     def _change(self, make: Callable[[dict], tuple[StructType, list[list[str]]] | None], tries: int = 5) -> None:
         for left in range(tries, 0, -1):

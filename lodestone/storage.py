@@ -29,3 +29,43 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of tables that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file beside its place and renames it; False, and no change, where the place is taken. Readers see all of it or nothing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    place = fs.makeQualified(place)
+    fs.mkdirs(place.getParent())
+    beside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(beside, place, spark.sparkContext._gateway.new_array(kind, 0))
+        return True
+    except Exception as e:
+        fs.delete(beside, False)
+        if "exist" in str(e).lower():
+            return False
+        raise
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    file = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def names_in(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
+    """The names in a folder that end with suffix, without it, and don't start with a dot; none if there is no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n.removesuffix(suffix) for n in names if n.endswith(suffix) and not n.startswith("."))
