@@ -9,8 +9,7 @@ Template: every turn is <|role|>ROLE<|text|>CONTENT<|end|>. Escaping inside role
 backslash as \\e, < as \\l and [ as \\b, so no control string (<|end|>, </s>, [INST], ...) can stand in a
 formatted conversation but those of the template, and unescape() restores every text.
 
-The result keeps the conversation as pieces with a loss flag: the text is all pieces joined, the loss mask
-covers the pieces of assistant contents, and offsets follow by adding lengths.
+The result is the text and its loss mask: the spans (code points, end exclusive) of the assistants' contents.
 """
 
 from __future__ import annotations
@@ -57,36 +56,51 @@ def text_part(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None) -> DataFrame:
-    """(conv_id, pieces array<struct<text, loss>>, formatted, attachments, attachment_tokens) of each conversation.
+    """(conv_id, formatted, loss_mask array<struct<start, end>>, attachments, attachment_tokens) of each conversation.
 
-    Turns go by turn number (null first), then role and content, so ties and repeated rows, which all stay, have one order.
+    Turns go by turn number (null first), then role and text or parts as they were before escaping, so ties and repeated rows, which all stay, have one order.
     Null roles, texts and parts are empty; rows without conv_id form one conversation. A conversation is one value and so
     must fit in a task; there is no other bound on its turns. An empty table gives none; other columns are ignored.
     """
-    flat = flatten_parts(F.col(f"`{parts_col}`") if parts_col else text_part(F.col(f"`{text_col}`")))
-    rows = turns.select(F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), flat.alias("flat"))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "flat"))).alias("turns"))
-    pieces = F.flatten(
-        F.transform("turns", lambda t: F.array(
-            F.struct(F.concat(F.lit(ROLE), escape(t["role"]), F.lit(TEXT)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(t["flat"]["content"].alias("text"), (t["role"] == "assistant").alias("loss")),
-            F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
-        ))
-    )
+    content = F.col(f"`{parts_col}`") if parts_col else F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = turns.select(F.col(f"`{id_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), content.alias("content"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("turns"))
+    flat = lambda t: flatten_parts(t["content"] if parts_col else text_part(t["content"]))
+    chats = chats.select("conv_id", F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), F.concat(F.lit(ROLE), escape(t["role"]), F.lit(TEXT)).alias("head"), flat(t).alias("flat"))).alias("turns"))
+    span = "array<struct<start:bigint,end:bigint>>"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("mask"))
+
+    def add(a: Column, t: Column) -> Column:
+        first = a["at"] + F.length(t["head"])
+        last = first + F.length(t["flat"]["content"])
+        mask = F.when(t["loss"], F.array_append(a["mask"], F.struct(first.alias("start"), last.alias("end")))).otherwise(a["mask"])
+        return F.struct((last + F.lit(len(END))).cast("long").alias("at"), mask.cast(span).alias("mask"))
+
+    mask = F.aggregate("turns", start, add, lambda a: a["mask"])
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["flat"]["content"], F.lit(END))), "")
     attachments = F.flatten(F.transform("turns", lambda t, i: F.transform(t["flat"]["attachments"], lambda a: F.struct(i.alias("turn"), a["place"].alias("place"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
     tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["flat"]["attachment_tokens"])
-    out = chats.select("conv_id", pieces.alias("pieces"), attachments.alias("attachments"), tokens.alias("attachment_tokens"))
-    return out.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
+    return chats.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"), attachments.alias("attachments"), tokens.alias("attachment_tokens"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """(conv_id, turns array<struct<role, text>>, loss_text, formatted) parsed from formatted and the loss mask."""
+    """(conv_id, turns array<struct<role, text>>, loss_text, formatted) parsed from formatted and the loss mask alone.
+
+    loss_text are the contents that lie at the mask's spans, one after the other; a span at which no content lies makes it null.
+    """
     part = F.split("formatted", r"<\|end\|>", -1)
-    turns = F.transform(F.slice(part, 1, F.size(part) - 1), lambda t: F.struct(
-        unescape(F.substring_index(F.replace(t, F.lit(ROLE), F.lit("")), TEXT, 1)).alias("role"),
-        unescape(F.substring_index(t, TEXT, -1)).alias("text"),
-    ))
-    loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
+    chats = chats.select("conv_id", "formatted", "loss_mask", F.transform(F.slice(part, 1, F.size(part) - 1), lambda t: F.struct(F.length(t).alias("n"), F.substring_index(F.replace(t, F.lit(ROLE), F.lit("")), TEXT, 1).alias("role"), F.substring_index(t, TEXT, -1).alias("text"))).alias("parsed"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("texts"))
+
+    def add(a: Column, t: Column) -> Column:
+        last = a["at"] + t["n"]
+        span = F.get("loss_mask", a["k"])
+        hit = F.coalesce((span["end"] == last) & (span["start"] == last - F.length(t["text"])), F.lit(False))
+        texts = F.when(hit, F.array_append(a["texts"], t["text"])).otherwise(a["texts"])
+        return F.struct((last + F.lit(len(END))).cast("long").alias("at"), F.when(hit, a["k"] + 1).otherwise(a["k"]).alias("k"), texts.alias("texts"))
+
+    loss = F.aggregate("parsed", start, add, lambda a: F.when(a["k"] == F.size("loss_mask"), F.array_join(F.transform(a["texts"], unescape), "")))
+    turns = F.transform("parsed", lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
     return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
 
 
