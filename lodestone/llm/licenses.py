@@ -1,9 +1,9 @@
 """License scans by canonical digests (DataFrame functions only).
 
 A text's canonical form is lower-cased, without copyright lines and punctuation, with white space as single blanks and
-equivalent spellings made one. The SHA-256 of the whole form is hash-joined with the digests of known
-licenses, and so is that of every line, which finds license statements inside longer texts. Only matches are
-shuffled. The known digests are broadcast below a checked number of rows.
+equivalent spellings of whole words made one. The SHA-256 of the whole form is hash-joined with the digests of known
+licenses, and so is that of every line, which finds license statements inside longer texts. The form is made once: one scan writes each text's
+digest and those line digests that may be known (a known set of checked size is a filter inside the scan); only these are joined.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import materialise, maybe_broadcast
 
-# Equivalent spellings, fixed values: first the spelling that is replaced.
+# Equivalent spellings of whole words, fixed values: first the spelling that is replaced.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
     "analogue": "analog",
@@ -27,22 +27,27 @@ SPELLINGS = {
     "calibre": "caliber",
     "cancelled": "canceled",
     "favour": "favor",
-    "fulfil ": "fulfill ",
+    "fulfil": "fulfill",
     "initialise": "initialize",
     "judgement": "judgment",
     "labelled": "labeled",
     "licence": "license",
+    "licenced": "licensed",
     "licencing": "licensing",
     "organisation": "organization",
-    "owner ": "holder ",
+    "owner": "holder",
     "per cent": "percent",
-    "programme ": "program ",
+    "programme": "program",
     "recognise": "recognize",
     "whilst": "while",
     "wilful": "willful",
-    "https://": "http://",
+    "https": "http",
 }
-_COPYRIGHT = r"(?m)^[ \t#*/;.%-]*(?:copyright\b(?=[^\n]*(?:\(c\)|©|[0-9]{4}|<|\[))|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+_ANY = rf"\b(?:{'|'.join(SPELLINGS)})\b"
+_COPYRIGHT = r"(?m)^[ \t#*/;.%-]*(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}|<|\[)|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+_OTHER = r"[^\p{L}\p{N}\n]+"
+#: Known digests up to which they are a filter inside the scan; a larger catalogue is joined with all lines.
+IN_SCAN = 20_000
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -144,10 +149,11 @@ KNOWN += [(x, t) for x in NAMES for t in (*full_texts(x), *statements(x))]
 
 def canonical(text: Column) -> Column:
     """The canonical form, with line breaks still in it."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT, "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _OTHER, " ")
+    same = out
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+        same = F.regexp_replace(same, rf"\b{old}\b", new)
+    return F.when(out.rlike(_ANY), same).otherwise(out)
 
 
 def _lines(form: Column) -> Column:
@@ -166,19 +172,27 @@ def license_matches(docs: DataFrame, known: list[tuple[str, str]] | DataFrame =
     """One row per document: doc_id, digest, license (of the whole text, or null), n_license_lines, line_licenses (sorted, comma-joined).
 
     Null texts count as empty; a text without letters and digits has a digest and no license. Of a digest known under
-    several names the first by name counts. Repeated rows each get their row; an empty table gives none.
+    several names the first by name counts. Repeated rows each get their row, ids must be integers or read as such; an empty table gives none.
     """
-    digests = known_digests(docs.sparkSession, known)
+    digests = materialise(known_digests(docs.sparkSession, known), "licenses")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), _lines(canonical(text)).alias("lines"))
-    rows = rows.withColumn("digest", F.sha2(F.array_join("lines", " "), 256))
-    units = rows.select("doc_id", "print", F.explode("lines").alias("line")).select("doc_id", "print", F.sha2("line", 256).alias("digest"))
-    found = units.join(maybe_broadcast(digests), "digest").groupBy("doc_id", "print", "license").agg(F.count(F.lit(1)).alias("n"))
-    # a repeated row's lines are counted once for each of its copies
-    copies = rows.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("copies"))
-    lines = found.groupBy("doc_id", "print").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["print"] == b["print"])
-    lines = lines.join(copies, same(lines, copies)).select(lines["doc_id"].alias("at_id"), lines["print"].alias("at_print"), (F.col("n") / F.col("copies")).cast("long").alias("n"), "names")
-    out = rows.select("doc_id", "print", "digest").join(maybe_broadcast(digests), "digest", "left")
-    out = out.join(lines, out["doc_id"].eqNullSafe(F.col("at_id")) & (out["print"] == F.col("at_print")), "left")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), canonical(text).alias("form")).select("doc_id", _lines(F.col("form")).alias("lines"))
+    rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("line_digests"))
+    some = [r.digest for r in digests.select("digest").limit(IN_SCAN + 1).collect()]
+    if len(some) <= IN_SCAN:
+        names = ", ".join(f"'{x}'" for x in some) or "''"
+        rows = rows.withColumn("line_digests", F.expr(f"filter(line_digests, x -> x IN ({names}))"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "license-lines")  # fixed once written
+    found = rows.select("row", F.explode("line_digests").alias("digest")).join(maybe_broadcast(digests), "digest")
+    found = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"))
+    out = rows.select("doc_id", "row", "digest").join(maybe_broadcast(digests), "digest", "left").join(found, "row", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("n", F.lit(0)).cast("long").alias("n_license_lines"), F.coalesce("names", F.lit("")).alias("line_licenses"))
+
+
+def plain_form(text: str) -> list[str]:
+    """The lines of a text's canonical form, in plain Python; for SQL and tests."""
+    out = re.sub(r"[^\w\n]|_", " ", re.sub(_COPYRIGHT, "", text.lower()))
+    out = "\n".join(" ".join(x.split()) for x in out.split("\n"))
+    for old, new in SPELLINGS.items():
+        out = re.sub(rf"\b{old}\b", new, out)
+    return [x for x in out.split("\n") if x]
