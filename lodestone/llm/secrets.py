@@ -8,12 +8,13 @@ the alphabet's middle, and serial correlation of neighbours. The least of the th
 the string's randomness (1: nothing speaks against a random string).
 
 False-discovery control asks the reverse: could prose give this? All letters of every document outside of these spans and strings are
-cut into consecutive blocks of each length class's least length and tested in the same way; the share of these blocks that are at least as random
-is a string's p-value within its length class. Short strings pass the tests more easily, so a shorter class's share
+written in each encoding's alphabet (in one case where it has one, and for hexadecimal the letters a to f alone), cut into consecutive blocks
+of each length class's least length, and tested in the same way; the share of these blocks that are at least as random
+is a string's p-value within its encoding and length class. Short strings pass the tests more easily, so a shorter class's share
 bounds it as well, which counts where texts are too short for long blocks. Benjamini-Hochberg at RATE over all strings of
-the class gives the class's cutoff, which is never below FLOOR. With fewer than 1 / RATE - 1 blocks up to the class's length no string
+the encoding and class gives the class's cutoff, which is never below FLOOR. With fewer than 1 / RATE - 1 blocks up to the class's length no string
 could ever be reported; there the battery's own p-value decides, at FLOOR. All that is gathered are
-histograms of BINS bins by length class; they count all documents.
+histograms of BINS bins by encoding and length class; they count all documents.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ _ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 _PLACES = [(name, {c: i for i, c in enumerate(a)}, len(a)) for name, a in _ALPHABETS]
+#: Encodings that share a null distribution: upper and lower case of the same digits.
+FAMILIES = ("hex", "base32", "base36", "base64")
 _URL = str.maketrans("-_", "+/")
 
 
@@ -122,39 +125,47 @@ def _bin(score: float) -> int:
     return max(0, BINS - 1 + math.ceil(10 * math.log10(max(score, 1e-9))))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, bin) of long strings that overlap no base span and have letters and digits, or both cases."""
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, family, length class, bin) of long strings that overlap no base span and have letters and digits, or both cases."""
     found = []
     for m in _LONG.finditer(text):
         s = m.group()
         if any(a < m.end() and m.start() < b for a, b, _ in taken) or not (any(c.isdigit() for c in s) or (s != s.lower() and s[1:].lower() != s[1:])):
             continue
-        _, codes, size = encoding(s)
+        name, codes, size = encoding(s)
         if len(codes) >= LEAST:
-            found.append((m.start(), m.end(), length_class(len(codes)), _bin(randomness(codes, size))))
+            found.append((m.start(), m.end(), FAMILIES.index(name.lower()), length_class(len(codes)), _bin(randomness(codes, size))))
     return found
 
 
-_B64 = _PLACES[-1][1]
-#: Places of the letters' bytes in the base64 alphabet, 255 for all else.
-_LETTERS = np.full(256, 255, np.uint8)
-_LETTERS[[ord(c) for c in _B64 if c.isalpha()]] = [i for c, i in _B64.items() if c.isalpha()]
+def _letters(family: str) -> tuple[np.ndarray, int]:
+    """The letters' bytes as places in a family's alphabet, 255 for what it leaves out, and the alphabet's size."""
+    place, size = next((p, n) for name, p, n in _PLACES if name == family)
+    out = np.full(256, 255, np.uint8)
+    for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz":
+        at = place.get(c, place.get(c.lower(), place.get(c.upper())))
+        if at is not None:
+            out[ord(c)] = at
+    return out, size
+
+
+_LETTERS = [_letters(f) for f in FAMILIES]
 _ERFC = np.frompyfunc(math.erfc, 1, 1)
 #: Letters of blocks that are tested at a time.
 PIECE = 1 << 18
 
 
-def block_scores(codes: np.ndarray) -> np.ndarray:
-    """randomness() of each row of base64 places."""
+def block_scores(codes: np.ndarray, size: int = 64) -> np.ndarray:
+    """randomness() of each row of places in an alphabet of that size."""
     rows, n = codes.shape
     codes = codes.astype(np.int64)
-    groups = max(2, min(64, n // 5, 16))
-    group = codes * groups // 64
+    groups = max(2, min(size, n // 5, 16))
+    group = codes * groups // size
     counts = np.bincount((group + groups * np.arange(rows)[:, None]).ravel(), minlength=rows * groups).reshape(rows, groups)
-    mean = n * np.bincount(np.arange(64) * groups // 64, minlength=groups) / 64
+    mean = n * np.bincount(np.arange(size) * groups // size, minlength=groups) / size
     chi, df = ((counts - mean) ** 2 / mean).sum(axis=1), groups - 1
     chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) / math.sqrt(2)
-    above = codes >= 32
+    above = 2 * codes >= size
     up = above.sum(axis=1)
     runs = 1 + (above[:, 1:] != above[:, :-1]).sum(axis=1)
     m = 1 + 2 * up * (n - up) / n
@@ -169,22 +180,24 @@ def block_scores(codes: np.ndarray) -> np.ndarray:
 
 
 def prose_histogram(texts: list[str]) -> np.ndarray:
-    """Blocks by length class and bin: all consecutive blocks of each text's letters, for each length class."""
-    hist = np.zeros((len(CLASSES), BINS), np.int64)
-    places = [_LETTERS[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)] for t in texts]
-    places = [x[x < 255] for x in places]
-    if not places:
-        return hist
-    lengths = np.array([len(x) for x in places])
-    first, letters = np.cumsum(lengths) - lengths, np.concatenate(places)
-    for k, n in enumerate(CLASSES):
-        blocks = lengths // n
-        within = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        starts = np.repeat(first, blocks) + n * within
-        for at in range(0, len(starts), PIECE // n):
-            scores = block_scores(letters[starts[at : at + PIECE // n, None] + np.arange(n)])
-            bins = np.maximum(0, BINS - 1 + np.ceil(10 * np.log10(np.maximum(scores, 1e-9)))).astype(np.int64)
-            hist[k] += np.bincount(bins, minlength=BINS)
+    """Blocks by family, length class and bin: all consecutive blocks of each text's letters, for each family and length class."""
+    hist = np.zeros((len(FAMILIES), len(CLASSES), BINS), np.int64)
+    raw = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
+    for family, (table, size) in enumerate(_LETTERS):
+        places = [table[x] for x in raw]
+        places = [x[x < 255] for x in places]
+        if not places:
+            return hist
+        lengths = np.array([len(x) for x in places])
+        first, letters = np.cumsum(lengths) - lengths, np.concatenate(places)
+        for k, n in enumerate(CLASSES):
+            blocks = lengths // n
+            within = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            starts = np.repeat(first, blocks) + n * within
+            for at in range(0, len(starts), PIECE // n):
+                scores = block_scores(letters[starts[at : at + PIECE // n, None] + np.arange(n)], size)
+                bins = np.maximum(0, BINS - 1 + np.ceil(10 * np.log10(np.maximum(scores, 1e-9)))).astype(np.int64)
+                hist[family, k] += np.bincount(bins, minlength=BINS)
     return hist
 
 
@@ -198,8 +211,8 @@ def outside(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("size", pa.int32()), ("bin", pa.int32())]))
-_PROSE = pa.list_(pa.struct([("size", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
+_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.int32()), ("size", pa.int32()), ("bin", pa.int32())]))
+_PROSE = pa.list_(pa.struct([("family", pa.int32()), ("size", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +225,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans = base_spans(text)
                 base.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
                 strings = candidates(text, spans)
-                found.append([{"start": a, "end": b, "size": c, "bin": d} for a, b, c, d in strings])
+                found.append([{"start": a, "end": b, "family": f, "size": c, "bin": d} for a, b, f, c, d in strings])
                 prose.append(outside(text, [x[:2] for x in (*spans, *strings)]))
             hist = prose_histogram(prose)  # of all rows, with the first
-            blocks = [[{"size": k, "bin": b, "n": hist[k, b]} for k, b in zip(*np.nonzero(hist), strict=True)], *[None] * (len(prose) - 1)]
+            blocks = [[{"family": f, "size": k, "bin": b, "n": hist[f, k, b]} for f, k, b in zip(*np.nonzero(hist), strict=True)], *[None] * (len(prose) - 1)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, _SPAN), pa.array(found, _FOUND), pa.array(blocks, _PROSE)], ["doc_id", "base", "found", "prose"])
 
 
@@ -241,18 +254,21 @@ def cutoffs(found: dict[tuple[int, int], int], prose: dict[tuple[int, int], int]
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """(doc_id, base, spans) of each document: spans array<struct<start, end, kind>> in code points, end exclusive, by start and kind.
 
-    Null and empty texts have none; repeated rows each get theirs; an empty table gives none. Other columns are ignored.
+    Null and empty texts have none; repeated rows each get theirs; ids must be integers or read as such; an empty table gives none. Other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    span, cand, prose = ("array<struct<start:bigint,end:bigint,kind:string>>", "array<struct<start:bigint,end:bigint,size:int,bin:int>>", "array<struct<size:int,bin:int,n:bigint>>")
+    span, cand, prose = ("array<struct<start:bigint,end:bigint,kind:string>>", "array<struct<start:bigint,end:bigint,family:int,size:int,bin:int>>", "array<struct<family:int,size:int,bin:int,n:bigint>>")
     scanned = materialise(rows.mapInArrow(trimmed(_scan), f"doc_id long, base {span}, found {cand}, prose {prose}"), "secrets")
 
-    def histogram(column: str, n: str) -> dict[tuple[int, int], int]:  # at most classes x bins rows
-        one = scanned.select(F.explode(column).alias("x")).groupBy("x.size", "x.bin").agg(F.sum(F.expr(n)))
-        return {(r[0], r[1]): r[2] for r in one.collect()}
+    def histogram(column: str, n: str) -> dict[int, dict[tuple[int, int], int]]:  # at most families x classes x bins rows
+        out = {f: {} for f in range(len(FAMILIES))}
+        for r in scanned.select(F.explode(column).alias("x")).groupBy("x.family", "x.size", "x.bin").agg(F.sum(F.expr(n)).alias("n")).collect():
+            out[r.family][r.size, r.bin] = r.n
+        return out
 
-    cut = cutoffs(histogram("found", "1"), histogram("prose", "x.n"), rate)
-    secret = " OR ".join([f"(c.size = {s} AND c.bin >= {b})" for s, b in sorted(cut.items())] or ["false"])
+    found, null = histogram("found", "1"), histogram("prose", "x.n")
+    cut = {(f, s): b for f in found for s, b in cutoffs(found[f], null[f], rate).items()}
+    secret = " OR ".join([f"(c.family = {f} AND c.size = {s} AND c.bin >= {b})" for (f, s), b in sorted(cut.items())] or ["false"])
     rank = "transform({}, c -> struct(c.start AS start, {} AS rank, c.end AS end))"
     base = rank.format("base", "array_position(array('assign', 'access', 'hex'), c.kind)")
     more = rank.format(f"filter(found, c -> {secret})", "4L")
