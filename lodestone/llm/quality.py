@@ -7,7 +7,8 @@ exact (Clopper-Pearson) upper bound of the share of good documents that it rejec
 RISK / number of signals, and the first that isn't ends the sequence. Such a fixed sequence needs no correction
 for its candidates, so DELTA is shared among strata and signals only (weighted Bonferroni, see levels()). Of the certified cutoffs the
 mildest is used for which the share of bad documents that it rejects, less WEIGHT times that of the good, is greatest.
-All rules together so reject at most RISK of a stratum's good documents, with probability 1 - DELTA.
+The cutoffs together so reject at most RISK of those good documents of a stratum that pass the base rules, with probability 1 - DELTA; what the
+base rules reject comes on top of it.
 
 Strata with fewer than MIN_GOOD good labelled documents, or with so few that not even a cutoff without errors
 could be certified (see levels()), share one pooled stratum, so there are at most (labelled rows / MIN_GOOD) + 1 of
@@ -231,8 +232,9 @@ def measure_slim(rows: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK) -> DataFrame:
-    """The rows of docs that pass."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    _, cutoffs = _fitted(rows, labels, risk)
-    measured = measure(docs, text_col=text_col).withColumn("stratum", F.coalesce(F.col(f"doc.`{stratum_col}`").cast("string"), F.lit("")))
+    """The rows of docs that pass. Texts are measured once: the rows are written with their counts, from which the cutoffs are fitted and applied."""
+    measured = materialise(measure(docs, text_col=text_col), "quality-rows")
+    slim = measured.select(F.col(f"doc.`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"doc.`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"), *COUNTS, "base_failed")
+    cutoffs = fit(slim, labels, risk=risk)
+    measured = measured.withColumn("stratum", F.coalesce(F.col(f"doc.`{stratum_col}`").cast("string"), F.lit("")))
     return decide(measured, cutoffs).where("kept").select("doc.*")
