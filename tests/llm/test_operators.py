@@ -261,8 +261,29 @@ def test_ledger(spark, plain, sf_dir, tmp_path):
             for name, n in (("byte_bpe_50k", len(plain(text))), ("white_space", len(brute.words(text)))):
                 x = want.setdefault((source, r.lang, name), [0, 0, 0])
                 x[0], x[1], x[2] = x[0] + 1, x[1] + n, x[2] + len(text)
-    got = {tuple(r)[:3]: list(r)[3:] for r in ledger.totals().collect()}
-    assert got == want
+    totals = lambda: {tuple(r)[:3]: list(r)[3:] for r in ledger.totals().collect()}
+    assert totals() == want
+    assert ledger.compact() and not ledger.compact() and totals() == want and ledger.committed() == ["a", "b", "c"]
+    assert not ledger.commit("b", token_counts.inserted(docs)) and ledger.commit("d/e f", token_counts.deleted(docs.where("doc_id = 149"))) and totals() != want
+    assert ledger.commit("undo", token_counts.inserted(docs.where("doc_id = 149"))) and totals() == want and "d/e f" in ledger.committed()
+
+
+def test_ledger_of_two_drivers(spark, sf_dir, tmp_path, monkeypatch):
+    docs = table(spark, "documents", sf_dir).limit(5)
+    one, two = (token_counts.TokenLedger(spark, f"file://{tmp_path}") for _ in range(2))
+    monkeypatch.setattr(two, "committed", lambda: [])  # it looked before the other one committed
+    assert one.commit("a", token_counts.inserted(docs)) and not two.commit("a", token_counts.inserted(docs))
+    assert {r.n_docs for r in one.totals().groupBy("tokenizer").sum("n_docs").toDF("tokenizer", "n_docs").collect()} == {5}
+    assert len(list((tmp_path / "counts").iterdir())) == 1
+
+
+def test_counts_of_the_table(spark, plain, sf_dir):
+    want = {}
+    for r in table(spark, "documents", sf_dir).collect():
+        for name, n in (("byte_bpe_50k", len(plain(r.text))), ("white_space", len(brute.words(r.text)))):
+            x = want.setdefault((r.source, r.lang, name), [0, 0, 0])
+            x[0], x[1], x[2] = x[0] + 1, x[1] + n, x[2] + len(r.text)
+    assert {tuple(r)[:3]: list(r)[3:] for r in queries.op2_token_counts(spark, sf_dir).collect()} == want
 
 
 def test_counts_edge_cases(spark):
@@ -304,12 +325,15 @@ def test_null_distribution_is_of_whole_texts():
     rng = random.Random(11)
     words = ["".join(rng.choice("etaoinshrdluETAOIN") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
     texts = ["", "é 12", " ".join(words), " ".join(words[:30]), *words[:50]]
-    want = np.zeros((len(secrets.CLASSES), secrets.BINS), int)
+    alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    want = np.zeros((4, len(secrets.CLASSES), secrets.BINS), int)
     for t in texts:
-        letters = [secrets._B64[c] for c in t if c.isascii() and c.isalpha()]
-        for k, n in enumerate(secrets.CLASSES):
-            for at in range(0, len(letters) - n + 1, n):
-                want[k, secrets._bin(secrets.randomness(letters[at : at + n], 64))] += 1
+        for f, alphabet in enumerate(alphabets):
+            case = (str.lower, str.upper, str.lower, str)[f]
+            letters = [alphabet.index(case(c)) for c in t if c.isascii() and c.isalpha() and case(c) in alphabet]
+            for k, n in enumerate(secrets.CLASSES):
+                for at in range(0, len(letters) - n + 1, n):
+                    want[f, k, secrets._bin(secrets.randomness(letters[at : at + n], len(alphabet)))] += 1
     assert (secrets.prose_histogram(texts) == want).all() and want.sum() > 1000
 
 
@@ -328,6 +352,18 @@ def test_random_strings_among_many_paths_and_in_short_texts(spark):
         assert not any(got[d] for d, _ in docs)
 
 
+def test_random_strings_of_every_encoding(spark):
+    rng = random.Random(13)
+    prose = [(r.doc_id, r.text) for r in table(spark, "documents", "/root/testdata/sf0.01").collect()]
+    prose = [(d, t) for d, t in prose if not brute.secrets(t)[1]]
+    alphabets = {"HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz"}
+    keys = [(10_000 * k + i, t + " " + "".join(rng.choice(a) for _ in range(40)) + " end") for k, a in enumerate(alphabets.values(), 1) for i, (_, t) in enumerate(prose[:40])]
+    got = {d: s for d, s in rows(secrets.secret_digests(secrets.secret_spans(spark.createDataFrame(prose + keys, "doc_id long, text string"))), "doc_id", "spans")}
+    for k in range(1, 4):
+        assert sum("random:" in got[10_000 * k + i] for i in range(40)) >= 36
+    assert not any(got[d] for d, _ in prose)
+
+
 def test_secrets_edge_cases(spark):
     assert secrets.secret_spans(empty(spark)).count() == 0
     assert secrets.secret_spans(odd(spark)).count() == len(ODD)
@@ -353,6 +389,25 @@ def test_chat_edge_cases(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_ties_go_by_texts_before_escaping_and_the_mask_tells_the_loss(spark):
+    data = [(1, 0, "assistant", "=a"), (1, 0, "assistant", "<a"), (1, 0, "assistant", "\\a"), (1, 0, "assistant", "[a"), (1, 1, "user", "é<|end|>"), (1, 2, "assistant", "")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(df)
+    r = chats.first()
+    assert set(rows(chat.chat_digests(chats), *C4)) == brute.chat(data)
+    assert [r.formatted[a:b] for a, b in r.loss_mask] == ["\\la", "=a", "\\ba", "\\ea", ""]
+    from pyspark.sql import functions as F
+
+    wrong = chats.withColumn("loss_mask", F.transform("loss_mask", lambda x: F.struct((x["start"] + 1).alias("start"), x["end"].alias("end"))))
+    assert chat.read_back(wrong).first().loss_text is None
+
+
+def test_a_very_long_chat(spark):
+    data = [(1, i, "assistant" if i % 2 else "user", f"t{i} <" * 3) for i in range(4000)] + [(2, 0, "assistant", "é<[\\ " * 200_000)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    assert set(rows(chat.chat_digests(chat.format_chats(df)), *C4)) == brute.chat(data)
+
+
 def test_content_parts(spark):
     part = "array<struct<kind:string,text:string,ref:string,amount:double>>"
     data = [(1, 0, "user", [("text", "see <b>", None, None), ("image", None, "a.png", 512.0 * 513), ("audio", None, "b.wav", 1.5), None, ("odd", "t", None, None)]), (1, 1, "assistant", [("document", None, "c.pdf", 3.0)]), (1, 2, "user", None)]
@@ -401,6 +456,32 @@ def test_licenses(spark):
     assert licenses.license_matches(odd(spark)).count() == len(ODD)
 
 
+def test_spellings_are_whole_words(spark):
+    known = [("X", "The owner may fulfil, whilst per cent (licence) stands.\nSee https://x.y"), ("Y", "licences")]
+    data = [(1, "the HOLDER may fulfill while percent license stands\n\nsee http x y"), (2, "the holder may fulfilled while percent license stands see http x y"), (3, "licenses"), (4, "Licences!")]
+    for limit in (licenses.IN_SCAN, 0):
+        got = {r.doc_id: r.license for r in licenses.license_matches(spark.createDataFrame(data, "doc_id long, text string"), known).collect()}
+        assert got == {1: "X", 2: None, 3: None, 4: "Y"}
+        licenses.IN_SCAN, limit = limit and 0, licenses.IN_SCAN
+    licenses.IN_SCAN = 20_000
+
+
+def test_licenses_match_brute_force(spark):
+    from hashlib import sha256
+
+    d = "/root/testdata/sf0.01"
+    sha = lambda t: sha256(t.encode()).hexdigest()
+    known = {}
+    for name, text in sorted(licenses.KNOWN, reverse=True):
+        known[sha(" ".join(licenses.plain_form(text)))] = name
+    docs, want = table(spark, "documents", d), []
+    for r in docs.collect():
+        form = licenses.plain_form(r.text)
+        lines = [known[x] for x in map(sha, form) if x in known]
+        want.append((r.doc_id, sha(" ".join(form)), known.get(sha(" ".join(form))), len(lines), ",".join(sorted(set(lines)))))
+    assert sorted(rows(licenses.license_matches(docs), "doc_id", "digest", "license", "n_license_lines", "line_licenses")) == sorted(want) and any(w[3] for w in want)
+
+
 def test_license_catalogue(spark):
     ids = ["Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
     assert ids == sorted(p.stem for p in licenses.TEXTS.glob("*.txt"))
