@@ -13,22 +13,27 @@ from lodestone.llm.common import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and the certified cutoffs. Null and short texts fail; repeated rows share their verdict; a null language is pooled; an empty table gives none."""
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group at five words and 0.8: the least doc_id's, rows without one last. Rows without words all stay."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no window of a benchmark item comes. Null texts stay; an empty benchmark drops nothing."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as its source's target takes it. Rows without source are one source; texts without words have size 0."""
     return mixing.mixed(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shards' order table. Null texts are END_OF_TEXT alone; repeated rows are written as often as they come."""
     return token_output.write_shards(docs, token_output.new_output(spark))
 
 
