@@ -1,7 +1,8 @@
 """Queries of the extractors over source trees made from documents: the driver's tables hold no source code.
 
 Every document stands for one file (by its id one of MARKED, with the id in all names), one rule's text, or one repository. The
-SQL gives the rows that were worked out by hand for each of these sources, with the id put in for each document.
+SQL gives, for each of these sources, rows that the parsers gave first and that were then checked by hand (the rules' and trees' were written by hand), with
+the id put in for each document.
 """
 
 from __future__ import annotations
