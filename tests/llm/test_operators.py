@@ -69,6 +69,19 @@ def test_proximity(spark):
     assert rows(decontaminate.near_matches(df, items, distance=5), "doc_id", "item_id", "start") == [(1, "9", 0)]
 
 
+def test_one_index_for_several_benchmarks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "P q x x r"), (2, "p x x x x x x x x q r"), (2, "p x x x x x x x x q r"), (3, None), (None, "q r")], "doc_id long, text string")
+    index = decontaminate.token_index(df, str(tmp_path / "index"))
+    assert index.columns == ["term", "doc", "position"] and index.count() == 29
+    for text, hit, near in (("q r", {2, None}, {1, 2, None}), ("p q", {1}, {1}), ("x x", {1, 2}, {1, 2})):
+        items = spark.createDataFrame([(9, text)], "item_id long, text string")
+        got = rows(decontaminate.contaminated(df, items, index=index), "doc_id", "contaminated")
+        assert len(got) == 5 and {x for x, c in got if c} == hit
+        assert {x for x, _ in rows(decontaminate.near_matches(df, items, index=index, distance=5), "doc_id", "item_id")} == near
+        # rows that are a part of the index's
+        assert {x for x, c in rows(decontaminate.contaminated(df.where("doc_id = 1"), items, index=index), "doc_id", "contaminated") if c} == hit & {1}
+
+
 # --- quality
 C6 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
