@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, materialise, mix64, remove, row_pieces, shared_dir, shingle_hashes, sorted_sets, trimmed
+from .common import doc_texts, materialise, maybe_broadcast, mix64, remove, row_pieces, shared_dir, shingle_hashes, sorted_sets, trimmed
 
 COORDINATES, BAND_ROWS, WIDTH, SIMILARITY = 128, 4, 5, 80
 #: Shingles of the unlinked members, and of all members, that a part of a star has on average at most (a member counts as SMALL at least);
@@ -288,14 +288,14 @@ def _rest(done: DataFrame, labels: DataFrame, texts: DataFrame, width: int, simi
     """Links (a, b) of step 3, as many as join the components that they join."""
     star = done.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("component", F.coalesce("component", "member"))
     mixed = star.groupBy("pivot").agg(F.min("linked").alias("all_linked"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.where("NOT all_linked AND low != high").select("pivot")
-    star = materialise(star.join(mixed, "pivot", "left_semi"), "stars", within)
+    mixed = materialise(mixed.where("NOT all_linked AND low != high").select("pivot"), "mixed", within)
+    star = materialise(star.join(maybe_broadcast(mixed), "pivot", "left_semi"), "stars", within)
     wanted = star.select(F.col("member").alias("node")).distinct()
     sets = materialise(texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(trimmed(_members(width)), "member long, size long, hashes binary"), "sets", within)
     sized = materialise(star.join(sets.select("member", "size"), "member"), "sized", within)
     weight = F.greatest("size", F.lit(SMALL))
     parts = sized.groupBy("pivot").agg(F.ceil(F.sum(F.when(~F.col("linked"), weight)) / left).alias("lows"), F.ceil(F.sum(weight) / right).alias("highs"))
-    keyed = sized.join(parts, "pivot")
+    keyed = sized.join(maybe_broadcast(materialise(parts, "parts", within)), "pivot")
     # an unlinked member meets all parts of the others; a star of one part needs each member once
     own, other = F.pmod(F.xxhash64("member"), F.col("lows")), F.pmod(F.xxhash64("member", F.lit(7)), F.col("highs"))
     place = lambda low, high, side: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(side).alias("side"))
